@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, order_minhash, quality_rules, repeats, sharding, url_filters
+from . import mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400).drop("spans")
 
 
+#: Where the public vocabularies are; see their README.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_lattice.nbest_digests(docs, f"{TOKENIZERS}/piece_bpe_32k.model", n=4)
+
+
 #: host, path, verdict
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -65,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_order_minhash": op2_order_minhash,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_piece_lattice": op6_piece_lattice,
     "op8_url_filters": op8_url_filters,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
