@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, url_filters
+from . import mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op6_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_lattice.nbest_digests(docs, f"{TOKENIZERS}/piece_bpe_32k.model", n=4)
 
 
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = surrogates.replace_entities(_table(spark, sf_dir, "documents").select("doc_id", "text"), key="op7")
+    return replaced.select("doc_id", "n_entities", "text")
+
+
 #: host, path, verdict
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_piece_lattice": op6_piece_lattice,
+    "op7_surrogates": op7_surrogates,
     "op8_url_filters": op8_url_filters,
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
