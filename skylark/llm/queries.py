@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, url_filters
+from . import mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, url_filters, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,22 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprint_edits(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, against a replica in which some records rotted and some are lost."""
+    html = F.coalesce(F.col("html"), F.lit(""))
+    rotten = F.when(F.col("page_id") % 97 == 5, F.concat(html, F.lit("\0"))).otherwise(html)
+    digest = lambda body: F.sha2(warc_fixity.warc_record(F.col("url"), body), 256)
+    pages = _table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.octet_length(warc_fixity.warc_record(F.col("url"), html)).cast("long").alias("length"),
+        digest(html).alias("digest"),
+        digest(rotten).alias("held"),
+    )
+    placed = warc_fixity.place_records(pages, ["page_id", "digest"], "length")
+    replica = placed.filter("page_id % 193 <> 7 or page_id is null").select("archive", "offset", "length", F.col("held").alias("digest"))
+    return warc_fixity.audit(placed.select("page_id", "archive", "offset", "length", "digest"), replica)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -77,6 +93,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_order_minhash": op2_order_minhash,
+    "op3_warc_fixity": op3_warc_fixity,
     "op4_mixing": op4_mixing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_piece_lattice": op6_piece_lattice,
@@ -90,6 +107,15 @@ _SPACE = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE: dict[str, str] = {
+    "op3_warc_fixity": r"""
+with r as (select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+      || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+      || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) rec
+    from pages),
+d as (select page_id, strlen(rec)::bigint as length, sha256(rec) digest, (row_number() over (order by page_id, sha256(rec)) - 1) // 1000 archive from r)
+select page_id, archive, (sum(length) over (partition by archive order by page_id, digest rows unbounded preceding) - length)::bigint as "offset", length, digest,
+  case when page_id % 193 = 7 then 'missing' when page_id % 97 = 5 then 'changed' else 'ok' end status
+from d""",
     "op4_mixing": f"""
 with d as (select doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint size from documents),
 k as (select doc_id, source, size,
