@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     pairs. component_id is the smallest id reachable, kept is doc_id = component_id.
 
     Null and empty texts have no shingles and are linked with nothing; rows with equal ids are one document;
-    a null id keeps a null component; an empty table gives no rows; other columns are ignored.
+    a row without id has no component and is kept; an empty table gives no rows; other columns are ignored.
     """
     signed = written(signatures(docs, ident, text, width))
     classes = written(
@@ -183,4 +183,4 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     joined = components(links)
     labelled = signed.join(classes.select("digest", "rep"), "digest", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
