@@ -170,12 +170,26 @@ def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.count_name("text", "the").cast("long").alias("mentions"))
 
 
-@query("""
-with f as (select doc_id, length(regexp_extract(text, '(?is)^(.*?)(?:^|[^a-z0-9])th[eéèëê](?:[\\s\\-''&]|and)*r[eéèëê](?:$|[^a-z0-9])', 1)) b,
-    regexp_matches(text, '(?is)(?:^|[^a-z0-9])th[eéèëê](?:[\\s\\-''&]|and)*r[eéèëê](?:$|[^a-z0-9])') hb,
-    length(regexp_extract(text, '(?is)^(.*?)(?:^|[^a-z0-9])wh[iíìïî]s[eéèëê](?:$|[^a-z0-9])', 1)) c, regexp_matches(text, '(?is)(?:^|[^a-z0-9])wh[iíìïî]s[eéèëê](?:$|[^a-z0-9])') hc
-  from documents where lang = 'en')
-select doc_id, case when hb and hc then case when b <= c then 'the re,whise' else 'whise,the re' end when hb then 'the re' when hc then 'whise' else '' end as brands from f""")
+_OPENED = "strip_accents(text)"
+for _pattern, _put, _flags in (
+    ("''", "", "g"), (r"\.", "", "g"), ("([a-z])([A-Z])", r"\1 \2", "g"), ("-", " ", "g"), ("([0-9])([a-zA-Z])", r"\1 \2", "g"),
+    ("([a-zA-Z])([0-9])", r"\1 \2", "g"), ("([a-z])and([a-z])", r"\1 and \2", "gi"), ("&", " and ", "g"), (r"\s+", " ", "g"),
+):
+    _OPENED = f"regexp_replace({_OPENED}, '{_pattern}', '{_put}', '{_flags}')"
+_THERE = r"(?:^|[^a-z0-9])th[eéèëê](?:[\s\-''&]|and)*r[eéèëê](?:$|[^a-z0-9])"
+_WHISE = r"(?:^|[^a-z0-9])wh[iíìïî]s[eéèëê](?:$|[^a-z0-9])"
+
+
+def _at(pattern: str) -> str:
+    at = lambda t: f"case when regexp_matches({t}, '(?is){pattern}') then length(regexp_extract({t}, '(?is)^(.*?){pattern}', 1)) end"
+    return f"coalesce({at('text')}, {at('opened')})"
+
+
+@query(f"""
+with t as (select doc_id, text, {_OPENED} as opened from documents where lang = 'en'),
+f as (select doc_id, {_at(_THERE)} b, {_at(_WHISE)} c from t)
+select doc_id, case when b is not null and c is not null then case when b <= c then 'the re,whise' else 'whise,the re' end
+  when b is not null then 'the re' when c is not null then 'whise' else '' end as brands from f""")
 def brands_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
     ranked = B.rank_brands(docs, "text", [{"shortName": "the re"}, {"shortName": "whise"}])
@@ -278,13 +292,13 @@ def array_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select o_orderkey, nullif(round(o_totalprice * 1000)::double / 1e6, 0) as unit, make_date(year(o_orderdate), month(o_orderdate), 1) as month, floor(o_totalprice * 10 + 0.5) / 10 as rounded from orders""")
+select o_orderkey, nullif(round(o_totalprice * 1000)::double / 1e6, 0) as unit, make_date(year(o_orderdate), month(o_orderdate), 1)::varchar as month, floor(o_totalprice * 10 + 0.5) / 10 as rounded from orders""")
 def money_and_months(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.select(
         "o_orderkey",
         numbers.micros_to_unit(F.round(F.col("o_totalprice") * 1000)).alias("unit"),
-        numbers.month_start(F.year("o_orderdate"), F.month("o_orderdate")).alias("month"),
+        numbers.month_start(F.year("o_orderdate"), F.month("o_orderdate")).cast("string").alias("month"),
         numbers.round1(F.col("o_totalprice")).alias("rounded"),
     )
 
