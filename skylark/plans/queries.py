@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers, text, urls
 from ..operators import brands as B
 from ..operators import citations, keywords, records, sources, topics, visibility
+from ..operators import pages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -338,3 +339,21 @@ def name_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sampled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reproducible sample of exactly 100 rows; sampling is the feature."""
     return records.sample_rows(table(spark, sf_dir, "events").select("event_id", "user_id"), 100, seed=3, ident="event_id")
+
+
+@query("""
+with e as (select page_id, html, regexp_replace(html, '(?is)<(script|style|nav|header|footer|noscript)[^>]*>.*?</\\1>', '', 'g') h from pages)
+select page_id, len(regexp_extract_all(regexp_replace(html, '(?is)<(nav|footer|header|script|style)\\b.*?</(nav|footer|header|script|style)>', '', 'g'), '(?i)<h1[ >]'))::int as n_h1,
+  len(regexp_extract_all(regexp_replace(html, '(?is)<(nav|footer|header|script|style)\\b.*?</(nav|footer|header|script|style)>', '', 'g'), '(?i)<[uo]l[ >]'))::int as n_lists
+from pages""")
+def page_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = P.page_content(table(spark, sf_dir, "pages"))
+    return content.select("page_id", F.size(F.filter("headings", lambda h: h["tag"] == "h1")).alias("n_h1"), F.size("lists").alias("n_lists"))
+
+
+@query()
+def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of pages by domain."""
+    pages = table(spark, sf_dir, "pages").withColumn("domain", urls.extract_domain("url"))
+    stats = P.page_stats(P.page_content(pages, resolve_relative=True), ["page_id", "domain"])
+    return P.aggregate_pages(stats, ["domain"])
