@@ -49,7 +49,7 @@ def keyword_records(responses: DataFrame, payload: str = "payload", zeros_to_nul
     m = F.coalesce("r.keywordIdeaMetrics", "r.keywordMetrics")
     price = lambda f: micros_to_unit(_number(m[f]), zeros_to_null)
     series = monthly_series(m["monthlySearchVolumes"])
-    named = lambda xs, *skip: F.nullif(F.array_distinct(F.filter(F.transform(xs, F.trim), lambda x: (x != "") & ~x.isin(*skip))), F.array().cast("array<string>"))
+    named = lambda xs, *skip: F.nullif(F.array_distinct(F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin(*skip))), F.array().cast("array<string>"))
     concepts = F.col("r.keywordAnnotations.concepts")
     out = parsed.select(
         F.col("r.text").alias("keyword"),
