@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ from .common import n_partitions, shared_dir, written
 
 #: Bytes ranked in the first round; the second round doubles to pairs of them at an offset.
 GRAM = 256
-#: Starts that one pair of the second round decides at once.
-STARTS = 49
+#: Starts that one pair decides at once, round by round; each divides the one before it.
+WIDTHS = (49, 7, 1)
 #: Windows looked at together; bounds a task's memory on very long texts.
 CHUNK = 1 << 20
 _POS = np.uint64(24)
@@ -94,60 +95,36 @@ def _round_one(length: int, gram: int):
     return run
 
 
-def _round_two(length: int, gram: int, starts: int):
-    """For the anchors that share their rank: pairs of ranks that cover all bytes of a stretch of starts.
+def _pairs(length: int, gram: int, width: int):
+    """Pairs of ranks for aligned stretches of `width` starts around the anchors in hits.
 
-    Stretch j of anchor a holds the starts a - (j + 1) * starts + 1 .. a - j * starts, so that copies cut
-    their stretches at equal places. h1, h2 rank the two halves; whole is 0 where the text ends inside.
+    Stretch j of anchor a holds the starts a - (j + 1) * width + 1 .. a - j * width, so that copies cut their
+    stretches at equal places. c1, c2 rank the core, the bytes that all its windows have in common; h1, h2
+    all bytes of its windows; whole is 0 where the text ends inside these.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "rank", "j", "place", "first", "last", "whole", "h1", "h2"]
+        names = ["k1", "k2", "place", "first", "last", "open", "j", "whole", "c1", "c2", "h1", "h2"]
         for batch in batches:
             parts, held = [], 0
             for k1, k2, text, hits in zip(*(batch.column(i) for i in range(4))):
                 data = _bytes(text.as_py())
                 ranks = gram_ranks(data, gram)
                 own = hits.values
-                place, first, last = (own.field(n).to_numpy().astype(np.int64) for n in ("place", "first", "last"))
-                low, high = (place - last) // starts, (place - first) // starts
-                for j in range(int(low.min()), int(high.max()) + 1):
-                    at = np.flatnonzero((low <= j) & (j <= high))
-                    if not len(at):
-                        continue
-                    a = place[at]
-                    begin, end = a - (j + 1) * starts + 1, a - j * starts
-                    whole = (begin >= 0) & (end + length <= len(data))
-                    h1 = ranks[np.clip(begin, 0, len(ranks) - 1)]
-                    h2 = ranks[np.clip(end + length - gram, 0, len(ranks) - 1)]
-                    parts.append([
-                        *_same([k1.as_py(), k2.as_py()], len(at)), ranks[a], np.full(len(at), j), a,
-                        np.maximum(first[at], begin), np.minimum(last[at], end), whole.astype(np.int64), h1, h2,
-                    ])
-                    held += len(at)
-                if held > 100_000:
-                    yield _emit(parts, names)
-                    parts, held = [], 0
-            yield _emit(parts, names)
-
-    return run
-
-
-def _round_three(length: int, gram: int):
-    """Each start of the undecided stretches, ranked by the pair of grams that covers its window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["k1", "k2", "start", "open", "h1", "h2"]
-        for batch in batches:
-            parts, held = [], 0
-            for k1, k2, text, hits in zip(*(batch.column(i) for i in range(4))):
-                ranks = gram_ranks(_bytes(text.as_py()), gram)
-                own = hits.values
-                first, last, undecided = (own.field(n).to_numpy().astype(np.int64) for n in ("first", "last", "open"))
-                n = last - first + 1
-                start = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                parts.append([*_same([k1.as_py(), k2.as_py()], len(start)), start, np.repeat(undecided, n), ranks[start], ranks[start + length - gram]])
-                held += len(start)
+                place, first, last, undecided = (own.field(n).to_numpy().astype(np.int64) for n in ("place", "first", "last", "open"))
+                low, high = (place - last) // width, (place - first) // width
+                n = high - low + 1
+                at = np.repeat(np.arange(len(place)), n)
+                j = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                a = place[at]
+                begin, end = a - (j + 1) * width + 1, a - j * width
+                whole = (begin >= 0) & (end + length <= len(data))
+                clip = lambda x: np.clip(x, 0, len(ranks) - 1)
+                parts.append([
+                    *_same([k1.as_py(), k2.as_py()], len(at)), a, np.maximum(first[at], begin), np.minimum(last[at], end), undecided[at], j,
+                    whole.astype(np.int64), ranks[end], ranks[begin + length - gram], ranks[clip(begin)], ranks[clip(end + length - gram)],
+                ])
+                held += len(at)
                 if held > 100_000:
                     yield _emit(parts, names)
                     parts, held = [], 0
@@ -203,17 +180,17 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     Ranks are 64-bit names of byte strings, so a position's rank is known without sorting all positions;
     Spark groups position-rank pairs by rank each round and only positions that share theirs go on:
     1. each window of `length` bytes is represented by its anchor, the position of its least 256-byte rank;
-    2. ranks double to pairs at an offset that cover a stretch of 49 starts around an anchor; a pair that
-       occurs twice decides all 49 starts;
-    3. starts of stretches that stay unique beside others are ranked by the pair of 256-byte ranks at offset
-       length - 256, which covers exactly the window; one stretch stands for all equal ones.
-    Equal windows have equal anchors, so no repeat is missed.
+    2. ranks double to pairs at an offset. For a stretch of 49 starts, one pair covers the bytes that all its
+       windows share, one all their bytes. If the second is not alone, all 49 starts are decided; if the
+       first is alone, none repeats; other stretches go on, one for all equal ones;
+    3. the same for stretches of 7 and of 1, where a pair covers exactly one window.
+    Equal windows have equal anchors and so equal stretches, hence no repeat is missed.
     """
     spark = docs.sparkSession
-    gram = min(GRAM, max(1, length // 2))
+    gram = min(GRAM, max(1, length * 16 // 25))
     if length > 2 * gram:
         raise ValueError(f"length can be {2 * GRAM} at most")
-    starts = min(STARTS, 2 * gram - length + 1)
+    most = min(2 * gram - length, length - gram) + 1
     n = n_partitions(spark)
     whole = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.select(F.col(ident).alias("doc_id"), F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(5), whole).alias("k2"), whole.alias("text"))
@@ -227,24 +204,22 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
     fields = "k1 long, k2 long, place long, first long, last long, rank long"
     one = written(long_enough.select("k1", "k2", "text").mapInArrow(_round_one(length, gram), fields))
     shared = one.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank")
-    hits = one.join(shared, "rank")
-    two_in = _by_text(long_enough.select("k1", "k2", "text"), hits, ["place", "first", "last"])
-    fields = "k1 long, k2 long, rank long, j long, place long, first long, last long, whole long, h1 long, h2 long"
-    two = written(two_in.mapInArrow(_round_two(length, gram, starts), fields))
-
-    stretch = ["rank", "j", "h1", "h2"]
-    seat = F.min(F.struct("k1", "k2", "place", "first", "last")).alias("seat")
-    strings = two.filter("whole = 1").groupBy(*stretch).agg(F.count("*").alias("n"), seat)
-    edge = two.filter("whole = 0").select(*stretch, F.lit(1).cast("long").alias("n"), F.struct("k1", "k2", "place", "first", "last").alias("seat"))
-    classes = written(strings.union(edge))
-    decided = two.filter("whole = 1").join(classes.filter("n > 1").select(*stretch), stretch, "left_semi").select("k1", "k2", "first", "last")
-    mixed = classes.groupBy("rank", "j").agg(F.count("*").alias("strings"), F.min("n").alias("least")).filter("strings > 1 and least = 1")
-    rest = classes.join(mixed.select("rank", "j"), ["rank", "j"]).select("seat.*", F.when(F.col("n") == 1, 1).otherwise(0).alias("open"))
-    three_in = _by_text(long_enough.select("k1", "k2", "text"), rest, ["first", "last", "open"])
-    three = written(three_in.mapInArrow(_round_three(length, gram), "k1 long, k2 long, start long, open long, h1 long, h2 long"))
-    twice = three.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    single = three.filter("open = 1").join(twice, ["h1", "h2"], "left_semi")
-    found = decided.union(single.select("k1", "k2", F.col("start").alias("first"), F.col("start").alias("last")))
+    hits = one.join(shared, "rank").select("k1", "k2", "place", "first", "last", F.lit(1).cast("long").alias("open"))
+    found = []
+    fields = ", ".join(f"{c} long" for c in ("k1", "k2", "place", "first", "last", "open", "j", "whole", "c1", "c2", "h1", "h2"))
+    for width in [w for w in WIDTHS if w <= most]:
+        texts_hit = _by_text(long_enough.select("k1", "k2", "text"), hits, ["place", "first", "last", "open"])
+        rows = written(texts_hit.mapInArrow(_pairs(length, gram, width), fields))
+        core, string = ["j", "c1", "c2"], ["j", "c1", "c2", "h1", "h2"]
+        seat = F.struct("k1", "k2", "place", "first", "last")
+        classes = rows.filter("whole = 1").groupBy(*string).agg(F.count("*").alias("n"), F.max("open").alias("open"), F.min(seat).alias("seat"))
+        cut_off = rows.filter("whole = 0").select(*string, F.lit(1).cast("long").alias("n"), "open", seat.alias("seat"))
+        classes = written(classes.union(cut_off).withColumn("open", F.when(F.col("n") == 1, F.col("open")).otherwise(0)))
+        shared_string = classes.filter("n > 1").select(*string)
+        found.append(rows.filter("whole = 1 and open = 1").join(shared_string, string, "left_semi").select("k1", "k2", "first", "last"))
+        mixed = classes.groupBy(*core).agg(F.count("*").alias("strings"), F.max("open").alias("undecided")).filter("strings > 1 and undecided = 1")
+        hits = classes.join(mixed.select(*core), core, "left_semi").select("seat.*", "open")
+    found = reduce(DataFrame.union, found)
     gathered = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
     fields = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
     cut = written(texts.join(gathered, ["k1", "k2"], "left").select("k1", "k2", "copies", "text", "hits").mapInArrow(_cut(length), fields))

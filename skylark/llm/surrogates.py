@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import n_partitions, written
 
 # What is detected, in order of precedence.
 _SECRET_WORDS = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key"
@@ -14,7 +14,7 @@ _TITLES_M = "Mr|Herr|Señor|Sr|Господин|г-н"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 DETECTED = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"(?<=(?i:{_SECRET_WORDS})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9+/_-]{{8,}}",
+    "secret": rf"(?<=[=:\"' \t])(?=[A-Za-z0-9+/_-]{{8}})(?<=(?i:{_SECRET_WORDS})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9+/_-]{{8,}}",
     "aws": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "card": r"(?<![\w.-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{3,4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -23,8 +23,7 @@ DETECTED = {
     "name": rf"(?<![\p{{L}}])(?:{_TITLES_F}|{_TITLES_M})\.? {_NAME}(?: {_NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in DETECTED.values())
-#: Texts without any of these hold nothing to detect.
-HINT = rf"[@\d]|AKIA|(?i:{_SECRET_WORDS})|(?:{_TITLES_F}|{_TITLES_M})\.? \p{{Lu}}"
+_TITLED = r"(?:M(?:rs?|s|iss|me)|Frau|Herr|Señora?|Sra?|Госпо|г-)[\p{L}.]* \p{Lu}"
 _GIVEN = {
     ("latin", "f"): "Alba Berta Carla Diana Elena Flora Greta Hanna Irene Julia Klara Laura Maria Nora Olga Paula".split(),
     ("latin", "m"): "Adam Bruno Carlo David Edgar Felix Georg Hugo Ivan Jakob Karl Leon Marco Nico Oscar Paul".split(),
@@ -58,6 +57,11 @@ def canonical(value: Column, kind: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _stream(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
     """128 hex digits that depend on the key, the entity and the attempt."""
     return F.sha2(F.concat(F.lit(key), F.lit("\x1f"), kind, F.lit("\x1f"), canon, F.lit("\x1f"), attempt.cast("string")).cast("binary"), 512)
@@ -115,14 +119,13 @@ def _name(value: Column, key: str, attempt: Column) -> Column:
     cyrillic = value.rlike(r" \p{IsCyrillic}")
 
     def given(token: Column, script: str) -> Column:
-        h = _stream(key, F.lit("given"), F.lower(token), attempt)
-        pick = lambda g: F.get(F.array(*map(F.lit, _GIVEN[script, g])), _number(h, 0, 1))
-        return F.when(female, pick("f")).otherwise(pick("m"))
+        pick = lambda g, h: F.get(F.array(*map(F.lit, _GIVEN[script, g])), _number(h, 0, 1))
+        return _let(_stream(key, F.lit("given"), F.lower(token), attempt), lambda h: F.when(female, pick("f", h)).otherwise(pick("m", h)))
 
     def family(token: Column, script: str) -> Column:
-        h = _stream(key, F.lit("family"), F.lower(token), attempt)
         parts = F.array(*map(F.lit, _SYLLABLES[script]))
-        return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.get(parts, _number(h, i, 1))), ""))
+        said = lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.get(parts, _number(h, i, 1))), "")
+        return F.initcap(_let(_stream(key, F.lit("family"), F.lower(token), attempt), said))
 
     def both(script: str) -> Column:
         last = family(F.element_at(rest, -1), script)
@@ -139,7 +142,10 @@ def surrogate(value: Column, kind: Column, canon: Column, key: str, attempt: Col
     punctuation; SSNs begin with 9; secrets keep length and character classes; names keep title, gender and
     script.
     """
-    s = _stream(key, kind, canon, attempt)
+    return _let(_stream(key, kind, canon, attempt), lambda s: _made(value, kind, canon, key, attempt, s))
+
+
+def _made(value: Column, kind: Column, canon: Column, key: str, attempt: Column, s: Column) -> Column:
     local = F.substring_index(canon, "@", 1)
     email = F.concat(_like(local, s), F.lit("@m"), F.substr(s, F.lit(101), F.lit(8)), F.lit(".example."), F.get(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _number(s, 110) % 3))
     body = F.concat(F.substr(canon, F.lit(1), F.lit(1)), _digits(F.length(canon) - 2, s))
@@ -159,27 +165,39 @@ def surrogate(value: Column, kind: Column, canon: Column, key: str, attempt: Col
     )
 
 
+def _typed(value: Column, body) -> Column:
+    """body(value, kind, canon), each computed once."""
+    return _let(value, lambda v: _let(kind_of(v), lambda k: _let(canonical(v, k), lambda c: body(v, k, c))))
+
+
 def _found(text: Column) -> Column:
-    """The detected values of a text, in order."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """The detected values of a text, in order. Most texts have none of the characters that any value needs."""
+    hint = text.rlike("[@0-9=:]") | F.contains(text, F.lit("AKIA")) | text.rlike(_TITLED)
+    return F.when(hint, F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def resolve_collisions(df: DataFrame, text: str, key: str, max_rounds: int = 20) -> DataFrame:
-    """(kind, canon, attempt) of the entities of all texts whose first surrogate can't stand.
+def detected_entities(df: DataFrame, text: str) -> DataFrame:
+    """(k1, k2, value, kind, canon): the distinct values of each distinct text, which k1 and k2 hash."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = df.select(t.alias("t"), F.array_distinct(_found(t)).alias("v")).filter(F.size("v") > 0)
+    each = found.select(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), F.explode("v").alias("value")).distinct()
+    return each.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("value"), F.col("kind")))
+
+
+def resolve_collisions(detected: DataFrame, key: str, max_rounds: int = 20) -> DataFrame:
+    """(kind, canon, attempt) of the entities whose first surrogate can't stand.
 
     A surrogate stands if no other entity of its type has it and it is no entity of the corpus itself. Of
     entities with equal surrogates the first in code point order keeps it, the others try again with the
     next attempt, until all stand. Only the number of entities that fell is brought to the driver.
     """
-    values = df.select(F.explode(F.array_distinct(_found(F.col(text)))).alias("value")).distinct()
-    typed = values.select("value", kind_of(F.col("value")).alias("kind"))
-    typed = typed.withColumn("canon", canonical(F.col("value"), F.col("kind")))
-    entities = written(typed.groupBy("kind", "canon").agg(F.min("value").alias("value")))
+    n = n_partitions(detected.sparkSession)
+    entities = written(detected.groupBy("kind", "canon").agg(F.min("value").alias("value")))
     known = entities.select("kind", F.col("canon").alias("made"), F.lit(True).alias("taken"))
     now = entities.withColumn("attempt", F.lit(0))
     for _ in range(max_rounds):
-        made = canonical(surrogate(F.col("value"), F.col("kind"), F.col("canon"), key, F.col("attempt")), F.col("kind"))
-        tried = written(now.withColumn("made", made))
+        made = _let(surrogate(F.col("value"), F.col("kind"), F.col("canon"), key, F.col("attempt")), lambda m: canonical(m, F.col("kind")))
+        tried = written(now.repartition(n, "kind", "canon").withColumn("made", made))  # few bytes but much work
         first = tried.groupBy("kind", "made").agg(F.min("canon").alias("holder"))
         judged = tried.join(first, ["kind", "made"]).join(known, ["kind", "made"], "left")
         fell = (F.col("canon") != F.col("holder")) | F.col("taken").isNotNull()
@@ -200,20 +218,16 @@ def replace_entities(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     of df named n_entities is replaced; an empty table gives no rows.
     """
     base = df.drop("n_entities")
-    again = resolve_collisions(base, text, key)
+    detected = written(detected_entities(base, text))
+    again = resolve_collisions(detected, key)
+    entry = F.struct(F.concat("kind", F.lit(":"), "canon").alias("k"), F.col("attempt").alias("v"))
+    held = detected.join(again, ["kind", "canon"]).groupBy("k1", "k2").agg(F.map_from_entries(F.collect_set(entry)).alias("_again"))
     t = F.coalesce(F.col(text), F.lit(""))
     keyed = base.select("*", F.xxhash64(t).alias("_k1"), F.xxhash64(F.lit(7), t).alias("_k2"))
-    held = keyed.select("_k1", "_k2", F.explode(F.array_distinct(_found(F.col(text)))).alias("value")).withColumn("kind", kind_of(F.col("value")))
-    held = held.withColumn("canon", canonical(F.col("value"), F.col("kind"))).join(again, ["kind", "canon"])
-    entry = F.struct(F.concat("kind", F.lit(":"), "canon").alias("k"), F.col("attempt").alias("v"))
-    maps = written(held.groupBy("_k1", "_k2").agg(F.map_from_entries(F.collect_set(entry)).alias("_again")))
+    maps = written(held.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}))
     joined = keyed.join(maps, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-
-    def new(value: Column) -> Column:
-        kind = kind_of(value)
-        canon = canonical(value, kind)
-        attempt = F.coalesce(F.get(F.filter(F.map_entries("_again"), lambda e: e["key"] == F.concat(kind, F.lit(":"), canon)), F.lit(0))["value"], F.lit(0))
-        return surrogate(value, kind, canon, key, attempt)
+    again_of = lambda k, c: F.coalesce(F.try_element_at("_again", F.concat(k, F.lit(":"), c)), F.lit(0))
+    new = lambda value: _typed(value, lambda v, k, c: surrogate(v, k, c, key, again_of(k, c)))
 
     values = joined.withColumn("_found", _found(F.col(text)))
     parts = F.split(F.col(text), PATTERN, -1)
