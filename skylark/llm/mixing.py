@@ -40,8 +40,8 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[i
         {"_caps": F.col("_cap"), "_ws": F.col("_w"), "_all": F.col("source_size")},
     ).withColumn("_level", (F.col("_all_total") * F.lit(share) - F.col("_caps_before")) / (F.col("_ws_total") - F.col("_ws_before")))
     level = written(level)
-    top = level.agg(F.max("_level").alias("_top"))  # one row
-    return level.crossJoin(F.broadcast(top)).select("_source", "source_size", F.least("_cap", F.col("_w") * F.col("_top")).alias("target"))
+    top = level.agg(F.max("_level")).scalar()
+    return level.select("_source", "source_size", F.least("_cap", F.col("_w") * top).alias("target"))
 
 
 def mix_sources(

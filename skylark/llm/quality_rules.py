@@ -65,9 +65,10 @@ def host_verdicts(judged: DataFrame, host: str, failed: str, max_rate: float = 0
         (F.sum(F.col("n_docs") * F.col("_rate") * F.col("_rate")) / F.sum("n_docs")).alias("_sq"),
     )
     prior = prior.withColumn("_v", F.greatest(F.col("_sq") - F.col("_m") * F.col("_m"), F.lit(1e-4)))
-    prior = prior.select("_m", F.least(F.greatest(F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1, F.lit(1.0)), F.lit(1000.0)).alias("_k"))
-    shrunk = (F.col("n_failed") + F.col("_m") * F.col("_k")) / (F.col("n_docs") + F.col("_k"))
-    rated = hosts.crossJoin(F.broadcast(prior)).withColumn("shrunk_rate", shrunk)  # prior is one row
+    strength = F.least(F.greatest(F.col("_m") * (1 - F.col("_m")) / F.col("_v") - 1, F.lit(1.0)), F.lit(1000.0))
+    prior = prior.select(F.struct(F.col("_m").alias("m"), strength.alias("k"))).scalar()
+    shrunk = (F.col("n_failed") + F.col("_prior.m") * F.col("_prior.k")) / (F.col("n_docs") + F.col("_prior.k"))
+    rated = hosts.withColumn("_prior", prior).withColumn("shrunk_rate", shrunk)
     return written(rated.select("_host", "n_docs", "n_failed", "shrunk_rate", (F.col("shrunk_rate") <= max_rate).alias("host_ok")))
 
 

@@ -44,16 +44,17 @@ def filter_urls(df: DataFrame, rules: DataFrame, url: str = "url", default: str
     coded = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").filter("host is not null and path is not null")
     coded = coded.withColumn("folder", _folder(F.col("path"))).withColumn("digest", _digest(F.col("host"), F.col("folder")))
     coded = written(coded.select("*", labels.alias("labels"), depth.alias("depth"), F.substring("digest", 1, prefix_hex).alias("short")))
-    shapes = coded.agg(F.collect_set("labels").alias("_labels"), F.collect_set("depth").alias("_depths"))  # one row of small integers
+    lengths = F.struct(F.collect_set("labels").alias("labels"), F.collect_set("depth").alias("depths"))
+    shapes = coded.agg(lengths).scalar()  # small integers
 
     judged = df.drop("host", "path", "rule", "verdict").select("*", host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    keys = judged.select("host", "path").filter("host <> ''").distinct().crossJoin(F.broadcast(shapes))
+    keys = judged.select("host", "path").filter("host <> ''").distinct()
     suffix = lambda n: F.when(n <= F.size("_hosts"), F.array_join(F.slice("_hosts", F.greatest(F.size("_hosts") - n + 1, F.lit(1)), n), "."))
     folder = lambda n: F.when(n <= F.size("_folders"), F.concat(F.array_join(F.slice("_folders", 1, n - 1), "/"), F.when(n > 1, "/").otherwise("")))
-    parts = keys.select("host", "path", "_labels", "_depths", F.split("host", r"\.").alias("_hosts"), F.split("path", "/").alias("_folders"))
+    parts = keys.select("host", "path", shapes.alias("_shapes"), F.split("host", r"\.").alias("_hosts"), F.split("path", "/").alias("_folders"))
     tried = (
-        parts.select("host", "path", "_depths", "_folders", F.explode("_labels").alias("n"), "_hosts")
-        .select("host", "path", suffix(F.col("n")).alias("suffix"), F.explode("_depths").alias("n"), "_folders")
+        parts.select("host", "path", "_shapes", "_folders", F.explode("_shapes.labels").alias("n"), "_hosts")
+        .select("host", "path", suffix(F.col("n")).alias("suffix"), F.explode("_shapes.depths").alias("n"), "_folders")
         .select("host", "path", "suffix", folder(F.col("n")).alias("folder"))
         .filter("suffix is not null and folder is not null")
         .withColumn("digest", _digest(F.col("suffix"), F.col("folder")))
