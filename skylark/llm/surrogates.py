@@ -37,15 +37,24 @@ _SYLLABLES = {
 
 
 def kind_of(value: Column) -> Column:
-    """The type of a detected value, from the value alone, so that one value always has one type."""
+    """The type of a detected value, from the value alone, so that one value always has one type.
+
+    What looks like a card number but has a wrong check digit is a plain "number", which is nobody's data.
+    """
     whole = lambda p: value.rlike(f"^(?:{p})$")
     plain = {k: DETECTED[k] for k in ("email", "aws", "card", "ssn", "phone", "ipv4", "name")}
-    out = F.lit("secret")
+    out = F.when(_wrong_card(value), "number").otherwise("secret")
     for k, p in reversed(plain.items()):
-        out = F.when(whole(p), k).otherwise(out)
+        fits = whole(p) & ~_wrong_card(value) if k == "card" else whole(p)
+        out = F.when(fits, k).otherwise(out)
     return out
 
 
+def _wrong_card(value: Column) -> Column:
+    """Whether the value is formed like a card number, but its check digit is wrong."""
+    return value.rlike(f"^(?:{DETECTED['card']})$") & ~F.call_function("luhn_check", F.regexp_replace(value, r"\D", ""))
+
+
 def canonical(value: Column, kind: Column) -> Column:
     """The same for all spellings of one entity: emails and names without case, numbers without punctuation, names without title."""
     bare = F.regexp_replace(value, rf"^(?:{_TITLES_F}|{_TITLES_M})\.? ", "")
@@ -158,6 +167,7 @@ def _made(value: Column, kind: Column, canon: Column, key: str, attempt: Column,
         .when(kind == "ipv4", ip)
         .when(kind == "card", _refill(value, F.concat(body, _luhn(body))))
         .when(kind == "phone", _refill(value, phone))
+        .when(kind == "number", value)
         .when(kind == "ssn", _refill(value, F.concat(F.lit("9"), _digits(8, s))))
         .when(kind == "aws", F.concat(F.lit("AKIA"), _like(F.substr(value, F.lit(5)), s)))
         .when(kind == "name", _name(value, key, attempt))
@@ -181,7 +191,8 @@ def detected_entities(df: DataFrame, text: str) -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     found = df.select(t.alias("t"), F.array_distinct(_found(t)).alias("v")).filter(F.size("v") > 0)
     each = found.select(F.xxhash64("t").alias("k1"), F.xxhash64(F.lit(7), "t").alias("k2"), F.explode("v").alias("value")).distinct()
-    return each.withColumn("kind", kind_of(F.col("value"))).withColumn("canon", canonical(F.col("value"), F.col("kind")))
+    typed = each.withColumn("kind", kind_of(F.col("value"))).filter("kind <> 'number'")
+    return typed.withColumn("canon", canonical(F.col("value"), F.col("kind")))
 
 
 def resolve_collisions(detected: DataFrame, key: str, max_rounds: int = 20) -> DataFrame:
@@ -233,5 +244,6 @@ def replace_entities(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     parts = F.split(F.col(text), PATTERN, -1)
     made = F.concat(F.transform("_found", new), F.array(F.lit("")))
     mixed = F.array_join(F.flatten(F.zip_with(parts, made, lambda p, m: F.array(p, m))), "")
-    out = values.withColumn("n_entities", F.coalesce(F.size("_found"), F.lit(0)).cast("long"))
+    count = F.size(F.filter("_found", lambda v: ~_wrong_card(v)))
+    out = values.withColumn("n_entities", F.greatest(count, F.lit(0)).cast("long"))
     return out.withColumn(text, F.when(F.size("_found") > 0, mixed).otherwise(F.col(text))).select(*base.columns, "n_entities")
