@@ -86,23 +86,23 @@ def brand_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _engines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    results = search_results(spark, sf_dir)
-    return {"alpha": results.filter("result_id % 2 = 0"), "beta": results.filter("result_id % 3 = 0")}
+    """Each result belongs to one of two search engines, told by the parity of its id."""
+    results = search_results(spark, sf_dir).withColumn("engine", F.when(F.col("result_id") % 2 == 0, "alpha").otherwise("beta"))
+    return {e: results.filter(F.col("engine") == e).drop("engine") for e in ("alpha", "beta")}
 
 
 @query(f"""
 with {_SOURCES}
-select lower(norm) url, count(*) filter (result_id % 2 = 0) + count(*) filter (result_id % 3 = 0) total,
-  count(*) filter (result_id % 2 = 0) alpha, count(*) filter (result_id % 3 = 0) beta
-from src where dom <> 'example.org' and cited and (result_id % 2 = 0 or result_id % 3 = 0) group by 1""")
+select lower(norm) url, count(*) total, count(*) filter (result_id % 2 = 0) alpha, count(*) filter (result_id % 2 = 1) beta
+from src where dom <> 'example.org' and cited group by 1""")
 def cited_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.cited_urls(_engines(spark, sf_dir), include_uncited=False, exclude_domains=["example.org"])
 
 
 @query(f"""
 with {_SOURCES},
-u as (select lower(norm) url, dom, count(*) filter (result_id % 2 = 0) alpha, count(*) filter (result_id % 3 = 0) beta
-      from src where result_id % 2 = 0 or result_id % 3 = 0 group by all)
+u as (select lower(norm) url, dom, count(*) filter (result_id % 2 = 0) alpha, count(*) filter (result_id % 2 = 1) beta
+      from src group by all)
 select dom as domain, sum(alpha + beta)::bigint total, sum(alpha)::bigint alpha, sum(beta)::bigint beta, count(*) n_urls from u group by dom""")
 def cited_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.cited_domains(visibility.cited_urls(_engines(spark, sf_dir)), ["alpha", "beta"])
@@ -110,7 +110,7 @@ def cited_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 with {_SOURCES}
-select page_id from src where lower(norm) in (select lower(norm) from src where result_id % 3 = 0)""")
+select page_id from src where lower(norm) in (select lower(norm) from src where result_id % 2 = 1)""")
 def pages_of_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = visibility.cited_urls(_engines(spark, sf_dir))
     return visibility.filter_by_engine(table(spark, sf_dir, "pages"), stats, "beta").select("page_id")
@@ -187,12 +187,12 @@ def _at(pattern: str) -> str:
 
 
 @query(f"""
-with t as (select doc_id, text, {_OPENED} as opened from documents where lang = 'en'),
+with t as (select doc_id, text, {_OPENED} as opened from documents),
 f as (select doc_id, {_at(_THERE)} b, {_at(_WHISE)} c from t)
 select doc_id, case when b is not null and c is not null then case when b <= c then 'the re,whise' else 'whise,the re' end
   when b is not null then 'the re' when c is not null then 'whise' else '' end as brands from f""")
 def brands_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     ranked = B.rank_brands(docs, "text", [{"shortName": "the re"}, {"shortName": "whise"}])
     return ranked.select("doc_id", F.array_join("brands", ",").alias("brands"))
 
