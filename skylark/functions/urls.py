@@ -28,21 +28,22 @@ def host(url: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$|\.$", ""))
 
 
+_SUFFIX = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
+_LABEL = r"[^.:\[\]]+"
+#: One pattern, so that the host is computed once: the last two labels, three under a two-label suffix.
+_REGISTRABLE = rf"^(?![0-9.]+$)(?:{_LABEL}\.)*?((?!(?:{_SUFFIX})$){_LABEL}\.(?:{_SUFFIX}|{_LABEL}))$"
+_PROXY = r"^(?:(?:https?:)?//)?translate\.google\.com(?::\d+)?/translate[^?#]*\?(?:[^#]*&)?u="
+
+
 def registrable_domain(host_: Column) -> Column:
     """The last two labels, three under a two-label suffix; null for addresses and single labels."""
-    labels = F.split(host_, r"\.")
-    size = F.size(labels)
-    last = lambda n: F.array_join(F.slice(labels, F.greatest(size - (n - 1), F.lit(1)), F.lit(n)), ".")
-    two = last(2).isin(TWO_LABEL_SUFFIXES)
-    known = (size >= 2) & ~host_.rlike(r"^[0-9.]+$|[:\[\]]") & ~host_.rlike(r"(^|\.)(\.|$)")
-    return F.when(known & two & (size >= 3), last(3)).when(known & ~two, last(2))
+    return F.nullif(F.regexp_extract(host_, _REGISTRABLE, 1), F.lit(""))
 
 
 def _target(url: Column) -> Column:
     """What a translation proxy's URL points to; other URLs stay."""
-    proxied = with_scheme(url).rlike(r"^(https?:)?//translate\.google\.com(:\d+)?/translate[^?#]*\?([^#]*&)?u=")
     wrapped = F.try_url_decode(F.regexp_extract(url, r"[?&]u=([^&#]*)", 1))
-    return F.when(proxied, F.coalesce(wrapped, url)).otherwise(url)
+    return F.when(url.rlike(_PROXY), F.coalesce(wrapped, url)).otherwise(url)
 
 
 def extract_domain(url: Column | str, with_subdomain: bool = False, resolve_translate: bool = True) -> Column:
