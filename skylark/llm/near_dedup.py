@@ -21,8 +21,8 @@ SYMBOLS = CHUNKS * PER_CHUNK
 _rng = np.random.default_rng(85)
 _MULT = (_rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _ADD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)[:, None]
-#: Texts of a cluster that meet in one task.
-BLOCK = 256
+#: Texts of a cluster that meet in one task; one of more than HEAVY shingles counts as several.
+BLOCK, HEAVY = 256, 8192
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     Documents are linked when 100 x intersection >= percent x union of their shingle sets. Equal sets are one
     class from the start; only one document of a class goes on, so copies never pair. Classes that share a
     signature key form clusters (a superset of the components). Inside a cluster all texts are compared on
-    full sets, in blocks of 256 dealt over tasks by block pair, ordered by set size so that block pairs whose
+    full sets, in blocks of 256 (fewer if they are long) dealt over tasks by block pair, ordered by set size so that block pairs whose
     sizes exclude the threshold are skipped; each task returns a spanning forest of its links, never all
     pairs. component_id is the smallest id reachable, kept is doc_id = component_id.
 
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     )
     clusters = candidate_clusters(classes.select("rep", "sign"))
     sized = classes.select("rep", "n_shingles").join(clusters.withColumnRenamed("node", "rep"), "rep")
-    ranked = global_prefix(sized, ["component", "n_shingles", "rep"], {"_n": F.lit(1).cast("long")})
+    ranked = global_prefix(sized, ["component", "n_shingles", "rep"], {"_n": F.ceil(F.col("n_shingles") / HEAVY).cast("long")})
     first = ranked.groupBy("component").agg(F.min("_n_before").alias("_first"))
     placed = written(ranked.join(first, "component").select("component", "rep", "n_shingles", F.expr(f"(_n_before - _first) div {BLOCK}").alias("block")))
     blocks = placed.groupBy("component", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
