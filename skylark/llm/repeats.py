@@ -203,7 +203,7 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
 
     fields = "k1 long, k2 long, place long, first long, last long, rank long"
     one = written(long_enough.select("k1", "k2", "text").mapInArrow(_round_one(length, gram), fields))
-    shared = one.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank")
+    shared = written(one.groupBy("rank").agg(F.count("*").alias("n")).filter("n > 1").select("rank"))  # a plain side, so that Spark can split hot ranks
     hits = one.join(shared, "rank").select("k1", "k2", "place", "first", "last", F.lit(1).cast("long").alias("open"))
     found = []
     fields = ", ".join(f"{c} long" for c in ("k1", "k2", "place", "first", "last", "open", "j", "whole", "c1", "c2", "h1", "h2"))
@@ -218,7 +218,7 @@ def repeated_spans(docs: DataFrame, ident: str = "doc_id", text: str = "text", l
         shared_string = classes.filter("n > 1").select(*string)
         found.append(rows.filter("whole = 1 and open = 1").join(shared_string, string, "left_semi").select("k1", "k2", "first", "last"))
         mixed = classes.groupBy(*core).agg(F.count("*").alias("strings"), F.max("open").alias("undecided")).filter("strings > 1 and undecided = 1")
-        hits = classes.join(mixed.select(*core), core, "left_semi").select("seat.*", "open")
+        hits = classes.join(written(mixed.select(*core)), core, "left_semi").select("seat.*", "open")
     found = reduce(DataFrame.union, found)
     gathered = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("hits"))
     fields = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>"
