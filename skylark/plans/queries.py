@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers, text, urls
 from ..operators import brands as B
-from ..operators import citations, keywords, records, sources, topics, visibility
+from ..operators import citations, keywords, overlaps, records, sources, topics, visibility
 from ..operators import pages as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,6 +156,15 @@ def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.word_overlap("text", "item").alias("overlap"))
 
 
+@query(f"""
+with d as (select row_number() over () r, doc_id, {_WORDS % 'text'} ws from documents), b as (select row_number() over () s, item_id, {_WORDS % 'text'} ws from benchmark),
+dw as (select r, doc_id, len(ws) n, unnest(ws) w from d), bw as (select s, item_id, len(ws) m, unnest(ws) w from b)
+select doc_id, item_id, count(*)::double / (n + m - count(*)) as overlap from dw join bw using (w) group by r, s, doc_id, item_id, n, m""")
+def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every item that it shares a word with; overlap_scores takes one item a document."""
+    return overlaps.word_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("""
 select doc_id, list_aggregate(list_transform(list_sort(list_distinct([doc_id % 5 + 1, doc_id % 3 + 1])), lambda x: x::varchar), 'string_agg', ',') as numbers from documents""")
 def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

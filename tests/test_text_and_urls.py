@@ -1,9 +1,11 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from skylark.functions import companies, numbers, text, urls
+from skylark.plans import queries
 
 
 def values(spark, rows, schema, *cols):
@@ -94,3 +96,14 @@ def test_companies(spark):
     assert got == [("Escuela Sol",), ("Marea",), ("Academia Lugo",), (None,), ("Marea",)]
     assert one(spark, "A / B - C", companies.location_hints) == ["A / B - C", "A", "B - C", "A / B", "C", "B"]
     assert values(spark, [("Marea Norte Lugo", ["Lugo"])], "n string, h array<string>", companies.normalize_company("n", "h", {"Marea": ["mareanor"]})) == [("Marea",)]
+
+
+def test_benchmark_overlaps_read_every_item(spark, tmp_path):
+    """Items with id 40 and more count, as do documents without id and repeated rows."""
+    docs = [(1, "red green blue"), (None, "Blue sea"), (3, "nothing here"), (1, "red green blue"), (4, None), (5, "a b")]
+    items = [(41, "green blue yellow"), (199, "the sea"), (0, "unlike"), (None, "red"), (7, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.benchmark_overlaps(spark, str(tmp_path)).collect()
+    want = [(1, 41, 0.5), (1, 41, 0.5), (1, None, 1 / 3), (1, None, 1 / 3), (None, 41, 0.25), (None, 199, 1 / 3)]
+    assert Counter(tuple(r) for r in got) == Counter(want)
