@@ -9,7 +9,7 @@ from ..operators import citations, keywords, payloads, sources, topics
 from ..sources import google
 from ..streaming.enrich import windowed_counts
 from ..tools import presets
-from .queries import _SOURCES, query, search_results, table
+from .queries import _SOURCES, answered_results, query, search_results, table
 
 
 def _one_list(df: DataFrame, *order: str) -> DataFrame:
@@ -130,5 +130,5 @@ def turn_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def supported_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with the sources that support them by company, title and snippet."""
-    got = citations.link_statements(search_results(spark, sf_dir).withColumn("company", F.lit("Example")), text="answer")
+    got = citations.link_statements(answered_results(spark, sf_dir).withColumn("company", F.lit("Example")), text="answer")
     return got.select("result_id", F.size("supporting").alias("n_supporting"), F.round(F.get("supporting", F.lit(0))["score"], 6).alias("best"))

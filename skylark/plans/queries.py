@@ -41,6 +41,20 @@ BRANDS = [
 
 def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten pages a result as its sources (every third uncited), a document as its answer."""
+    grouped = _page_groups(spark, sf_dir)
+    answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("result_id"), F.col("text").alias("answer"))
+    return grouped.join(answers, "result_id", "left").select("result_id", "answer", "sources")
+
+
+def answered_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Like search_results, but every document is an answer: those without pages have no sources."""
+    answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("result_id"), F.col("text").alias("answer"))
+    joined = _page_groups(spark, sf_dir).join(answers, "result_id", "full")
+    none = F.array().cast(joined.schema["sources"].dataType)
+    return joined.select("result_id", "answer", F.coalesce("sources", none).alias("sources"))
+
+
+def _page_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(
         F.floor(F.col("page_id") / 10).alias("result_id"),
         F.struct(
@@ -48,9 +62,7 @@ def search_results(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("string").alias("domain"), (F.col("page_id") % 3 != 0).alias("cited"), F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("array<int>").alias("positions"),
         ).alias("s"),
     )
-    grouped = pages.groupBy("result_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.dropFields("ord")).alias("sources"))
-    answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("result_id"), F.col("text").alias("answer"))
-    return grouped.join(answers, "result_id", "left").select("result_id", "answer", "sources")
+    return pages.groupBy("result_id").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s.dropFields("ord")).alias("sources"))
 
 
 _DOMAIN = "regexp_extract(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '([^.]+\\.[^.]+)$', 1)"
@@ -68,7 +80,7 @@ select b.brand, coalesce(max(a.answer), 0)::bigint answer, count(*) filter (s.ci
   count(distinct lower(s.norm)) filter (s.cited) unique_citations, count(s.norm) refs, count(distinct lower(s.norm)) unique_refs
 from b left join s on s.brand = b.brand left join a on a.brand = b.brand group by b.brand""")
 def brand_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: visibility of brands in answers and sources of search results."""
+    """Visibility of brands in answers and sources of search results that have pages."""
     return visibility.aggregate_visibility(visibility.annotate_visibility(search_results(spark, sf_dir), BRANDS))
 
 
@@ -85,6 +97,35 @@ def brand_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("result_id", "brand", F.size("citations").cast("long").alias("n_citations"), F.size("refs").cast("long").alias("n_refs"), "in_sources", "in_content")
 
 
+_ANSWERED = "r as (select coalesce(d.doc_id, g.result_id) result_id, d.text from documents d full join (select distinct result_id from src) g on g.result_id = d.doc_id)"
+
+
+@query(f"""
+with {_SOURCES}, {_ANSWERED},
+b(brand, domain) as (values ('Thation', 'example.com'), ('Onre', 'example.net'), ('there', 'example.org')),
+s as (select b.brand, src.* from b join src on src.dom = b.domain join r on r.result_id = src.result_id),
+a as (select b.brand, count(*) answer from b, r where regexp_matches(r.text, '(?i)(^|[^A-Za-z0-9_])' || b.brand || '([^A-Za-z0-9_]|$)') group by b.brand)
+select b.brand, coalesce(max(a.answer), 0)::bigint answer, count(*) filter (s.cited) citations,
+  count(distinct lower(s.norm)) filter (s.cited) unique_citations, count(s.norm) refs, count(distinct lower(s.norm)) unique_refs
+from b left join s on s.brand = b.brand left join a on a.brand = b.brand group by b.brand""")
+def answered_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: brand_visibility with every document as an answer."""
+    return visibility.aggregate_visibility(visibility.annotate_visibility(answered_results(spark, sf_dir), BRANDS))
+
+
+@query(f"""
+with {_SOURCES}, {_ANSWERED},
+b(brand, domain) as (values ('Thation', 'example.com'), ('Onre', 'example.net'), ('there', 'example.org')),
+s as (select b.brand, src.result_id, count(*) filter (cited) n_citations, count(*) filter (not cited) n_refs from b join src on src.dom = b.domain group by all)
+select r.result_id, b.brand, coalesce(s.n_citations, 0)::bigint n_citations, coalesce(s.n_refs, 0)::bigint n_refs, s.result_id is not null in_sources,
+  coalesce(regexp_matches(r.text, '(?i)(^|[^A-Za-z0-9_])' || b.brand || '([^A-Za-z0-9_]|$)'), false) in_content
+from r cross join b left join s on s.brand = b.brand and s.result_id = r.result_id""")
+def answered_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """brand_annotation with every document as an answer."""
+    a = visibility.annotate_visibility(answered_results(spark, sf_dir), BRANDS)
+    return a.select("result_id", "brand", F.size("citations").cast("long").alias("n_citations"), F.size("refs").cast("long").alias("n_refs"), "in_sources", "in_content")
+
+
 def _engines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Each result belongs to one of two search engines, told by the parity of its id."""
     results = search_results(spark, sf_dir).withColumn("engine", F.when(F.col("result_id") % 2 == 0, "alpha").otherwise("beta"))

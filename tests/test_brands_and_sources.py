@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylark.operators import brands, citations, sources, topics, visibility
+from skylark.plans import payload_queries, queries
 
 SOURCES = "array<struct<title:string,url:string,domain:string,cited:boolean,snippet:string,positions:array<int>>>"
 
@@ -107,3 +108,17 @@ def test_funnels(spark):
     assert [(r.stage_ord, r.category_ord, r.name) for r in topics.funnel_categories(df).collect()] == [(0, 0, "a"), (0, 1, "b")]
     assert [tuple(r) for r in topics.funnel_topics(df).collect()] == [("know", ["a", "b"])]
     assert df.select(F.size("stages")).first()[0] == 1
+
+
+def test_every_document_is_an_answer(spark, tmp_path):
+    """Documents without pages are answers too, and pages without a document stay."""
+    docs = [(0, "there it is"), (7, "Onre and there"), (900, "Thation."), (None, "Onre")]
+    pages = [(i, f"http://www.example.com/{i}", "") for i in (0, 1, 50)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.brand: (r.answer, r.citations, r.refs) for r in queries.answered_visibility(spark, str(tmp_path)).collect()}
+    assert got == {"there": (2, 0, 0), "Onre": (2, 0, 0), "Thation": (1, 2, 3)}
+    rows = queries.answered_annotation(spark, str(tmp_path)).collect()
+    assert {r.result_id for r in rows} == {0, 5, 7, 900, None} and len(rows) == 15
+    found = {r.result_id: r.n_supporting for r in payload_queries.supported_statements(spark, str(tmp_path)).collect()}
+    assert set(found) == {0, 5, 7, 900, None} and found[900] == 0
