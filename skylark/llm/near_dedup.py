@@ -53,14 +53,14 @@ def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 own = shingle_set(text.as_py(), width)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
                 rows.append((len(own), digest if len(own) else None, signature(own) if len(own) else None))
             counts, digests, signs = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "sign"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
+                names=["_row", "doc_id", "mark", "n_shingles", "digest", "sign"],
             )
 
     return run
@@ -129,10 +129,10 @@ def _confirm(width: int, percent: int):
     return run
 
 
-def signatures(docs: DataFrame, ident: str, text: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, sign) of each row."""
-    narrow = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return narrow.mapInArrow(_signed(width), "doc_id long, n_shingles long, digest binary, sign binary")
+def signatures(numbered: DataFrame, ident: str, text: str, width: int) -> DataFrame:
+    """(_row, doc_id, hash of the text, n_shingles, digest of the set, sign) of each row."""
+    narrow = numbered.select("_row", F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
+    return narrow.mapInArrow(_signed(width), "_row long, doc_id long, mark long, n_shingles long, digest binary, sign binary")
 
 
 def candidate_clusters(classes: DataFrame) -> DataFrame:
@@ -144,24 +144,37 @@ def candidate_clusters(classes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row.
+    """(doc_id, n_shingles, component_id, kept) for each row, see near_rows.
 
-    Documents are linked when 100 x intersection >= percent x union of their shingle sets. Equal sets are one
-    class from the start; only one document of a class goes on, so copies never pair. Classes that share a
+    component_id is the smallest id of the row's group, kept is doc_id = component_id. In a group without any
+    id component_id is null and one row is kept. Rows are told apart by a number, not by their id: unrelated
+    texts under one id are in groups of their own, and a row without id is in the group of its copies. Null
+    and empty texts have no shingles and are linked with nothing; an empty table gives no rows; other columns
+    are ignored.
+    """
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), ident, text))
+    kept = F.when(F.col("component_id").isNull(), F.col("_row") == F.col("head")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return near_rows(numbered, ident, text, width, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def near_rows(numbered: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """(_row, doc_id, n_shingles, component_id, head) for each row; numbered has a unique _row, and is written.
+
+    Rows are linked when 100 x intersection >= percent x union of their shingle sets. Equal sets are one
+    class from the start; only one row of a class goes on, so copies never pair. Classes that share a
     signature key form clusters (a superset of the components). Inside a cluster all texts are compared on
     full sets, in blocks of 256 (fewer if they are long) dealt over tasks by block pair, ordered by set size so that block pairs whose
     sizes exclude the threshold are skipped; each task returns a spanning forest of its links, never all
-    pairs. component_id is the smallest id reachable, kept is doc_id = component_id.
-
-    Null and empty texts have no shingles and are linked with nothing; rows with equal ids are one document;
-    a row without id has no component and is kept; an empty table gives no rows; other columns are ignored.
+    pairs. head is the _row that stands for the group: the one with the smallest id, of these the one with the
+    least hash of the text; rows without id come last. component_id is its id.
     """
-    signed = written(signatures(docs, ident, text, width))
+    signed = written(signatures(numbered, ident, text, width))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", F.col("_row").alias("rep"))
     classes = written(
-        signed.filter("n_shingles > 0 and doc_id is not null")
+        signed.filter("n_shingles > 0")
         .groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "n_shingles", "sign")).alias("x"))
-        .select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sign").alias("sign"))
+        .agg(F.min(F.struct(order.alias("first"), "n_shingles", "sign")).alias("x"))
+        .select("digest", F.col("x.first.rep").alias("rep"), F.col("x.first").alias("first"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sign").alias("sign"))
     )
     clusters = candidate_clusters(classes.select("rep", "sign"))
     sized = classes.select("rep", "n_shingles").join(clusters.withColumnRenamed("node", "rep"), "rep")
@@ -176,11 +189,13 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     seats = tasks.select("component", F.col("i").alias("block"), F.lit(0).alias("side"), "key").union(
         tasks.filter("i <> j").select("component", F.col("j").alias("block"), F.lit(1).alias("side"), "key")
     )
-    texts = docs.select(F.col(ident).cast("long").alias("rep"), F.col(text).alias("text"))
+    texts = numbered.select(F.col("_row").alias("rep"), F.col(text).alias("text"))
     members = placed.join(written(seats), ["component", "block"]).select("rep", "key", "side")
     dealt = texts.join(members, "rep").select("key", "side", "rep", "text").repartition("key").sortWithinPartitions("key")
     links = written(dealt.mapInArrow(_confirm(width, percent), "u long, v long"))
-    joined = components(links)
-    labelled = signed.join(classes.select("digest", "rep"), "digest", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return labelled.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    joined = written(components(links).withColumnRenamed("node", "rep"))
+    firsts = written(joined.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("best")))
+    named = joined.join(firsts, "component").select("rep", "best")
+    labelled = signed.join(classes.select("digest", "rep", "first"), "digest", "left").join(named, "rep", "left")
+    best = F.coalesce("best", "first", order)
+    return labelled.select("_row", "doc_id", "n_shingles", best["doc_id"].alias("component_id"), best["rep"].alias("head"))

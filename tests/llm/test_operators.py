@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from skylark.llm import graph, mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, url_filters, warc_fixity
 from skylark.llm.queries import QUERIES, TOKENIZERS
 
@@ -311,6 +312,20 @@ def test_near_dedup_in_a_family_that_spans_blocks(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == Counter(plain_groups(table, 85))
 
 
+def test_near_dedup_tells_rows_apart_without_ids(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join("w%d" % rng.randint(0, 9999) for _ in range(60)) for _ in range(5))
+    near = lambda t: t + " more"
+    table = [(1, a), (None, a), (None, near(a)), (None, b), (None, near(b)), (5, c), (5, d), (6, near(d)), (5, ""), (8, e), (8, near(e)), (9, near(e)), (None, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(df, percent=80).collect())
+    same = Counter({(1, 1, True): 1, (None, 1, False): 2, (None, None, True): 2, (None, None, False): 1, (5, 5, True): 3, (6, 5, False): 1, (8, 8, True): 2, (9, 8, False): 1})
+    assert got == same
+    staged = df.selectExpr("doc_id", "text", "'en' lang", "'s' source", "0L n_chars")
+    once = Counter(r.doc_id for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, staged, "").collect())
+    assert once == Counter({1: 1, None: 2, 5: 3, 8: 1})
+
+
 def test_signatures_guarantee_distance_15():
     rng = np.random.default_rng(1)
     for _ in range(200):
