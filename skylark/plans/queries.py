@@ -267,7 +267,7 @@ with {_SOURCES}
 select dom as domain, n_pages, rank from (select dom, count(*) n_pages, row_number() over (order by count(*) desc, dom) rank from src group by dom)""")
 def top_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.lit("all").alias("topic"), F.struct(urls.extract_domain("url").alias("url")).alias("source"))
-    return citations.top_sources(pages, 1000).select(F.col("url").alias("domain"), F.col("frequency").alias("n_pages"), F.col("rank"))
+    return citations.top_sources(pages, most=None).select(F.col("url").alias("domain"), F.col("frequency").alias("n_pages"), F.col("rank"))
 
 
 @query("""

@@ -122,3 +122,10 @@ def test_every_document_is_an_answer(spark, tmp_path):
     assert {r.result_id for r in rows} == {0, 5, 7, 900, None} and len(rows) == 15
     found = {r.result_id: r.n_supporting for r in payload_queries.supported_statements(spark, str(tmp_path)).collect()}
     assert set(found) == {0, 5, 7, 900, None} and found[900] == 0
+
+
+def test_top_domains_has_no_cap(spark, tmp_path):
+    pages = spark.range(1200).selectExpr("id page_id", "concat('http://site', id, '.com/') url", "'' html")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.top_domains(spark, str(tmp_path)).collect()
+    assert sorted(r["rank"] for r in got) == list(range(1, 1201))
