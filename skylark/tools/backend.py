@@ -46,9 +46,9 @@ class StubBackend:
         if "$ref" in schema:
             return self._value(top["$defs"][schema["$ref"].rsplit("/", 1)[-1]], said, path, top)
         if "enum" in schema:
-            tail = said[-2000:].lower()
-            named = [v for v in schema["enum"] if isinstance(v, str) and v.lower() in tail]
-            return min(named, key=lambda v: -tail.rfind(v.lower())) if named else schema["enum"][pick % len(schema["enum"])]
+            low = said.lower()
+            named = [v for v in schema["enum"] if isinstance(v, str) and v.lower() in low]
+            return min(named, key=lambda v: -low.rfind(v.lower())) if named else schema["enum"][pick % len(schema["enum"])]
         kind = schema.get("type", "string")
         if kind == "object":
             return {k: self._value(v, said, f"{path}.{k}", top) for k, v in schema.get("properties", {}).items()}

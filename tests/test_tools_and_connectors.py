@@ -27,6 +27,15 @@ def test_classifiers_keep_rows_and_labels(spark):
     assert presets.keyword_to_prompt().batch(df, ["text"]).orderBy("ord").first().result
 
 
+@pytest.mark.parametrize("padding", [0, 3000])
+def test_stub_finds_labels_early_in_long_messages(padding):
+    """A label wins wherever it stands; six labels, so that no hash pick finds all."""
+    labels = ["red", "green", "blue", "black", "white", "grey"]
+    for name in labels:
+        reply = backend.StubBackend().complete("m", [{"role": "user", "content": f"{name} " + "." * padding}], {"enum": labels}, {})
+        assert json.loads(reply.text) == name
+
+
 class Failing:
     def __init__(self):
         self.seen = []
