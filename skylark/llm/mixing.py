@@ -7,18 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_prefix, word_count, written
+from .common import SPACES, global_prefix, word_count, written
+from .quality_rules import SYMBOLS
 
 
-def quality_weight(text: Column, size: Column) -> Column:
-    """1 for a mean word of 6 characters (spaces included), falling to 0 as it departs; 1 without words."""
-    x = F.length(text).cast("double") / (F.lit(6.0) * size)
-    return F.when(size > 0, F.least(x, F.lit(1.0) / x)).otherwise(F.lit(1.0))
+def quality_weight(text: Column) -> Column:
+    """Share of the text that is no markup symbol times the share of its lines that are no repeats, 0.05 at least.
+
+    Measures as in quality_rules, so that no language or word length is favoured; 1 for a text without words.
+    """
+    t = F.coalesce(text, F.lit(""))
+    chars, symbols = F.length(F.translate(t, SPACES, "")), F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
+    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    fresh = F.size(F.array_distinct(lines)).cast("double") / F.size(lines)
+    return F.when(chars > 0, F.greatest((F.lit(1.0) - symbols.cast("double") / chars) * fresh, F.lit(0.05))).otherwise(F.lit(1.0))
 
 
-def uniform(ident: Column, seed: int) -> Column:
-    """A reproducible number in (0, 1) for an id; the same on every run and every layout."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))))
+def uniform(ident: Column, text: Column, seed: int) -> Column:
+    """A reproducible number in (0, 1) for an id and its text; the same on every run and every layout."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
     return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
 
 
@@ -44,6 +51,28 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[i
     return level.select("_source", "source_size", F.least("_cap", F.col("_w") * top).alias("target"))
 
 
+def _keyed(df: DataFrame, ident: str, source: str, text: str, seed: int) -> DataFrame:
+    """df with _seat, its place within its source: exponential key, id, size."""
+    key = -F.log(uniform(F.col(ident), F.col(text), seed)) / quality_weight(F.col(text))
+    return df.withColumn("_seat", F.struct(key.alias("key"), F.col(ident).alias("id"), word_count(F.col(text)).alias("size")))
+
+
+def _ranked(df: DataFrame, ident: str, source: str, text: str, weights: Sequence[int], share: float, cap: float, seed: int) -> DataFrame:
+    """_source, _seat, source_size, target, epochs and picked of each row of df."""
+    seats = _keyed(df.select(ident, source, text), ident, source, text, seed)
+    keyed = written(seats.select(F.col(source).alias("_source"), "_seat", F.col("_seat.size").alias("size")))
+    by_source = [F.col("_source").isNull(), F.col("_source")]
+    targets = written(source_targets(keyed, "_source", "size", weights, share, cap))
+    ahead = global_prefix(targets, by_source, {"_ahead": F.col("source_size")})
+    starts = written(ahead.select(F.col("_source").alias("_s"), "source_size", "target", "_ahead_before"))
+    placed = global_prefix(keyed, [*by_source, F.col("_seat")], {"_run": F.col("size")})
+    joined = placed.join(starts, F.col("_source").eqNullSafe(F.col("_s")))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    rest = F.col("target") - F.col("epochs") * F.col("source_size")
+    middle = 2 * (F.col("_run_before") - F.col("_ahead_before")) + F.col("size")
+    return joined.withColumn("epochs", epochs).withColumn("picked", (F.col("size") > 0) & (middle <= 2 * rest))
+
+
 def mix_sources(
     df: DataFrame,
     ident: str = "doc_id",
@@ -58,34 +87,54 @@ def mix_sources(
 
     Whole epochs come first; the rest of the target is filled by exponential keys -ln(u) / quality, smallest
     first within the source, as long as the row's middle word falls within the budget. taken = size x
-    (epochs + picked). Keys derive from the id alone, so reruns agree; rows of the same id fall next to each
-    other, equal rows are interchangeable. A null text has size 0 and is taken 0 words; a null source is a
-    source, the last one; an empty table gives no rows; other columns are ignored.
+    (epochs + picked). Keys derive from id and text alone, so reruns agree; rows of the same id and text are
+    interchangeable. A null text has size 0 and is taken 0 words; a null source is a source, the last one;
+    an empty table gives no rows; other columns are ignored.
     """
-    size = word_count(F.col(text))
-    sized = df.select(F.col(ident).alias("_id"), F.col(source).alias("_source"), F.col(text).alias("_text"), size.alias("size"))
-    keyed = written(
-        sized.select("_id", "_source", "size", (-F.log(uniform(F.col("_id"), seed)) / quality_weight(F.col("_text"), F.col("size"))).alias("_key"))
-    )
-    targets = written(source_targets(keyed, "_source", "size", weights, share, cap))
-    starts = written(
-        global_prefix(targets, [F.col("_source").isNull(), F.col("_source")], {"_ahead": F.col("source_size")}).select(
-            F.col("_source").alias("_s"), "source_size", "target", "_ahead_before"
-        )
-    )
-    placed = global_prefix(keyed, [F.col("_source").isNull(), F.col("_source"), F.col("_key"), F.col("_id"), F.col("size")], {"_run": F.col("size")})
-    joined = placed.join(starts, F.col("_source").eqNullSafe(F.col("_s")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.col("target") - F.col("_epochs") * F.col("source_size")
-    middle = 2 * (F.col("_run_before") - F.col("_ahead_before")) + F.col("size")
-    out = joined.withColumn("_epochs", epochs).withColumn("_picked", (F.col("size") > 0) & (middle <= 2 * rest))
-    return out.select(
-        F.col("_id").alias(ident),
+    return _ranked(df, ident, source, text, weights, share, cap, seed).select(
+        F.col("_seat.id").alias(ident),
         F.col("_source").alias(source),
         "size",
         "source_size",
         "target",
-        F.col("_epochs").alias("epochs"),
-        F.col("_picked").alias("picked"),
-        (F.col("size") * (F.col("_epochs") + F.col("_picked").cast("long"))).alias("taken"),
+        "epochs",
+        "picked",
+        (F.col("size") * (F.col("epochs") + F.col("picked").cast("long"))).alias("taken"),
     )
+
+
+def mix_documents(
+    df: DataFrame,
+    ident: str = "doc_id",
+    source: str = "source",
+    text: str = "text",
+    weights: Sequence[int] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: int = 17,
+) -> DataFrame:
+    """The mix itself: each row of df as many times as mix_sources takes it, with all its columns.
+
+    The rows picked in a source come first in the order of its seats, so its last picked seat decides all
+    others: one row a source is joined to the documents (Spark broadcasts it when it is measured to be small)
+    and no text is shuffled or sorted. Only where rows of equal id and text straddle that seat are these
+    numbered, to take as many as the budget does. Rows without words are taken 0 times. Edge cases as in mix_sources.
+    """
+    ranked = written(_ranked(df, ident, source, text, weights, share, cap, seed).select("_source", "_seat", "epochs", "picked"))
+    last = ranked.groupBy("_source").agg(F.max("epochs").alias("_epochs"), F.max(F.when(F.col("picked"), F.col("_seat"))).alias("_last"))
+    last = written(last.withColumnRenamed("_source", "_s"))
+    at_last = ranked.join(last, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_seat") == F.col("_last")))
+    ties = at_last.groupBy(F.col("_s").alias("_t")).agg(F.count("*").alias("_all"), F.count_if("picked").alias("_fit"))
+    cuts = written(last.join(ties, F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t"))
+    met = _keyed(df, ident, source, text, seed).join(cuts, F.col(source).eqNullSafe(F.col("_s"))).filter("_seat.size > 0")
+    divided = F.coalesce((F.col("_seat") == F.col("_last")) & (F.col("_fit") < F.col("_all")), F.lit(False))
+    times = F.col("_epochs") + F.coalesce(F.col("_seat") <= F.col("_last"), F.lit(False)).cast("long")
+    whole = met.filter(~divided).withColumn("_times", times)
+    if cuts.filter("_fit < _all").limit(1).count():
+        tied = global_prefix(met.filter(divided), ["_s"], {"_n": F.lit(1).cast("long")})
+        first = tied.groupBy(F.col("_s").alias("_t")).agg(F.min("_n_before").alias("_first"))
+        tied = tied.join(first, F.col("_s").eqNullSafe(F.col("_t")))
+        tied = tied.withColumn("_times", F.col("_epochs") + (F.col("_n_before") - F.col("_first") < F.col("_fit")).cast("long"))
+        whole = whole.unionByName(tied.select(*whole.columns))
+    repeated = whole.filter("_times > 0").withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
+    return repeated.select(*df.columns)

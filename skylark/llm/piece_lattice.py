@@ -103,14 +103,42 @@ class Pieces:
                 raw = segment[start:end].replace(MARK, " ").encode("utf-8", "surrogatepass")
                 yield start, self.fallback * len(raw), tuple(self.byte_ids[b] for b in raw)
 
+    def edge_arrays(self, segment: str, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, score, id) of all edges of the lattice, by end; id is -1 for the bytes of one character.
+
+        One pass a piece length over blocks of starts, so that memory follows the edges found.
+        """
+        codes = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(codes), block):
+            h = np.zeros(min(block, len(codes) - at), np.uint64)
+            for length in range(1, min(self.longest, len(codes) - at) + 1):
+                h = h[: len(codes) - at - length + 1]
+                h = h * _BASE + codes[at + length - 1 : at + length - 1 + len(h)] + np.uint64(1)
+                score, ident = self.lookup(h)
+                if length == 1:
+                    own = codes[at : at + len(h)]
+                    size = np.where((own < 128) | (own == ord(MARK)), 1, np.where(own < 2048, 2, np.where(own < 65536, 3, 4)))
+                    score = np.where(ident < 0, self.fallback * size, score)
+                hit = np.flatnonzero(score > _NONE)
+                found.append((hit + at, hit + at + length, score[hit], ident[hit]))
+        start, end, score, ident = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((start, end))
+        return start[order], end[order], score[order], ident[order]
+
+    def ids_of(self, segment: str, start: int, ident: int) -> tuple[int, ...]:
+        """The ids of an edge of edge_arrays."""
+        return (ident,) if ident >= 0 else tuple(self.byte_ids[b] for b in segment[start].replace(MARK, " ").encode("utf-8", "surrogatepass"))
+
 
 def backward_astar(n_nodes: int, edges_into, alpha: Sequence[int], n: int) -> list[tuple[int, tuple]]:
     """The n best paths from node 0 to the last, best first: (score, labels from left to right).
 
     alpha[v] is the best score from 0 to v, so alpha[v] + score of the suffix is exact and the heap pops
-    complete paths in order. Equal scores come in the order in which they were pushed.
+    complete paths in order. Of equal scores the one pushed last comes first: a path that is begun is finished
+    before its ties are looked at, so n paths take at most n x (pieces of the longest) pops.
     """
-    order = itertools.count()
+    order = itertools.count(0, -1)
     heap = [(-alpha[n_nodes - 1], next(order), n_nodes - 1, 0, ())]
     found = []
     while heap and len(found) < n:
@@ -132,15 +160,24 @@ def _unlink(labels: tuple) -> tuple:
     return tuple(out)
 
 
+def _forward(n: int, start: list[int], end: list[int], score: list[int]) -> tuple[list[int], list[int]]:
+    """Best score from 0 to each node, and the edge by which it comes; edges by end."""
+    alpha, back = [0] + [_NONE] * n, [-1] * (n + 1)
+    for i, (s, e, x) in enumerate(zip(start, end, score)):
+        x += alpha[s]
+        if x > alpha[e]:
+            alpha[e], back[e] = x, i
+    return alpha, back
+
+
 def segment_nbest(pieces: Pieces, segment: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
     """(score, ids) of the n best segmentations of one segment (or of any text)."""
-    alpha, into = [0], [()]
-    for end in range(1, len(segment) + 1):
-        own = list(pieces.edges(segment, end))
-        into.append(own)
-        alpha.append(max(alpha[s] + score for s, score, _ in own))
-    paths = backward_astar(len(segment) + 1, into.__getitem__, alpha, n)
-    return [(score, tuple(itertools.chain.from_iterable(labels))) for score, labels in paths]
+    start, end, score, ident = (x.tolist() for x in pieces.edge_arrays(segment))
+    alpha, _ = _forward(len(segment), start, end, score)
+    first = np.searchsorted(np.array(end), np.arange(len(segment) + 2)).tolist()
+    into = lambda v: ((start[i], score[i], (start[i], ident[i])) for i in range(first[v], first[v + 1]))
+    paths = backward_astar(len(segment) + 1, into, alpha, n)
+    return [(s, tuple(itertools.chain.from_iterable(pieces.ids_of(segment, *own) for own in labels))) for s, labels in paths]
 
 
 class Scored:
@@ -167,11 +204,24 @@ class Scored:
         self.start = np.concatenate(([0], np.cumsum(self.count)[:-1]))
 
     def _one(self, pieces: Pieces, segment: str, i: int):
-        paths = segment_nbest(pieces, segment, 2)
-        self.best[i] = paths[0][0]
-        if len(paths) > 1:
-            self.loss[i] = paths[0][0] - paths[1][0]
-        ids = np.array(paths[0][1], np.int64)
+        """Forward and backward scores over all edges; time and memory follow their number."""
+        n = len(segment)
+        start, end, score, ident = pieces.edge_arrays(segment)
+        s, e, x = start.tolist(), end.tolist(), score.tolist()
+        alpha, back = _forward(n, s, e, x)
+        beta = [_NONE] * n + [0]
+        for k in range(len(s) - 1, -1, -1):
+            beta[s[k]] = max(beta[s[k]], x[k] + beta[e[k]])
+        path, at = [], n
+        while at:
+            path.append(back[at])
+            at = s[back[at]]
+        through = np.array(alpha)[start] + score + np.array(beta)[end]
+        through[path] = _NONE
+        self.best[i], second = alpha[n], int(through.max())
+        if second > _NONE // 2:
+            self.loss[i] = alpha[n] - second
+        ids = np.array([k for p in reversed(path) for k in pieces.ids_of(segment, s[p], int(ident[p]))], np.int64)
         return np.full(len(ids), i), np.arange(len(ids)), ids
 
     def _many(self, pieces: Pieces, segments: list[str], part: np.ndarray, n: int):
@@ -311,7 +361,9 @@ def nbest_digests(df: DataFrame, model_path: str, n: int = 4, ident: str = "doc_
     n_pieces and score (nats) are the best segmentation's; the arrays have up to n entries, best first, the
     CRC32 of the ids as 32-bit little-endian numbers; decoded_equal says that decoding the best ids gives
     the text again (a text with U+2581 decodes to a space there). Null and empty texts have no pieces, score
-    0 and one segmentation. Repeated rows are encoded each; other columns are ignored.
+    0 and one segmentation. Of tied segmentations any may come first. Long texts and long words without spaces are
+    encoded whole, in time and memory that follow their length. Repeated rows are encoded each; an empty table
+    gives no rows; other columns are ignored.
     """
     model = _model(df, model_path)
 

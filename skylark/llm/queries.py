@@ -117,10 +117,13 @@ select page_id, archive, (sum(length) over (partition by archive order by page_i
   case when page_id % 193 = 7 then 'missing' when page_id % 97 = 5 then 'changed' else 'ok' end status
 from d""",
     "op4_mixing": f"""
-with d as (select doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint size from documents),
+with d as (select doc_id, source, coalesce(text, '') t, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint size,
+        length(regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g')) chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) symbols,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) lines
+      from documents),
 k as (select doc_id, source, size,
-        -ln((('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint::double + 0.5) / 281474976710656.0)
-        / case when size > 0 then least(length(text)::double / (6.0 * size), 1.0 / (length(text)::double / (6.0 * size))) else 1.0 end as key
+        -ln((('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null') || ':' || md5(t)), 1, 12))::bigint::double + 0.5) / 281474976710656.0)
+        / case when chars > 0 then greatest((1.0::double - symbols::double / chars) * (len(list_distinct(lines))::double / len(lines)), 0.05::double) else 1.0 end as key
       from d),
 s as (select source, sum(size)::bigint source_size from d group by source),
 r as (select *, [5.0, 2.0, 1.0][((row_number() over (order by source is null, source) - 1) % 3 + 1)::int]::double w, 2.0::double * source_size cap from s),

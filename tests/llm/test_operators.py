@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -136,6 +137,30 @@ def test_mixing(spark, sf_dir, rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def test_mixed_documents_are_those_that_the_mix_takes(spark, docs, empty):
+    table = docs.withColumn("size", F.lit("clash")).withColumn("picked", F.lit(1))
+    took, seen = Counter(), Counter()
+    for r in mixing.mix_sources(docs).collect():
+        if r["size"]:
+            took[r.doc_id, r.source] += r.taken // r["size"]
+    mixed = mixing.mix_documents(table)
+    assert mixed.columns == table.columns
+    for r in mixed.collect():
+        seen[r.doc_id, r.source] += 1
+    assert seen == +took
+    assert mixing.mix_documents(empty).count() == 0
+
+
+def test_mixed_documents_with_copies_on_both_sides_of_the_cut(spark):
+    rows = [(None, "one two three", "a")] * 40 + [(1, "one two three", "b")] * 3 + [(None, "x y z", None)] * 5 + [(2, None, "a"), (3, "", "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    for share in (0.7, 1.0, 1.5):
+        took = Counter()
+        for r in mixing.mix_sources(table, share=share).collect():
+            took[r.source] += r.taken // 3
+        assert Counter(r.source for r in mixing.mix_documents(table, share=share).collect()) == +took
+
+
 def plain_repeats(texts, length):
     starts = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     out = []
@@ -187,6 +212,36 @@ def test_piece_lattice(pieces):
         assert all(known[tuple(ids.tolist())] == s for s, ids in got) and len({tuple(i.tolist()) for _, i in got}) == len(got)
 
 
+def test_piece_lattice_with_ties(pieces):
+    texts = ["9aaa7" * 2, "aaaaaaaaaa", "ab" * 5, "中中中中", "----------", "1111111111"]
+    for text, got in zip(texts, piece_lattice.encode_batch(pieces, texts, 8)):
+        want = every_segmentation(pieces, text)
+        assert [s for s, _ in got] == [s for s, _ in want[:8]]
+        known = {ids: s for s, ids in want}
+        assert all(known[tuple(ids.tolist())] == s for s, ids in got) and len({tuple(i.tolist()) for _, i in got}) == len(got)
+
+
+def test_long_words_are_scored_as_short_ones(pieces, monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("theanoxé中1") for _ in range(rng.randint(1, 70))) + " " + "7aaa9" * rng.randint(0, 9) for _ in range(40)]
+    scores = []
+    for long in (0, 10**9):
+        monkeypatch.setattr(piece_lattice, "LONG", long)
+        scores.append([[s for s, _ in got] for got in piece_lattice.encode_batch(pieces, texts, 4)])
+    assert scores[0] == scores[1]
+
+
+def test_very_long_words_take_linear_time(spark, pieces, empty):
+    texts = ["9aaa7" * 20_000, "".join(random.Random(9).choice("abcdefXYZ0123456789+/") for _ in range(100_000)), "中文字" * 33_000]
+    began = time.process_time()
+    for n in (1, 4):
+        for text, got in zip(texts, piece_lattice.encode_batch(pieces, texts, n)):
+            assert all(piece_lattice.decode(pieces, ids.tolist()) == text for _, ids in got)
+    assert time.process_time() - began < 60
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    assert piece_lattice.encode(empty, model).count() == 0 and piece_lattice.nbest_digests(empty, model).count() == 0
+
+
 def test_pieces_decode_as_the_library_does(spark, pieces, sf_dir, rows):
     import sentencepiece
 
