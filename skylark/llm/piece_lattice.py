@@ -298,8 +298,12 @@ def text_nbest(pieces: Pieces, scored: Scored, segments: list[str], where: np.nd
     limit = loss[few].max()
     few = np.concatenate((np.flatnonzero(loss < limit), np.flatnonzero(loss == limit)))[: n - 1]  # ties: the leftmost
     few = np.sort(few[loss[few] < -_NONE])
-    options = [pieces.nbest(segments[where[i]], n) for i in few]
-    into = [()] + [[(k, score - own[0][0], alt) for alt, (score, _) in enumerate(own)] for k, own in enumerate(options)]
+    options = []
+    for i in few:  # of tied best paths the scored one comes first
+        mine = tuple(ids[begin[i] : ends[i]].tolist())
+        own = pieces.nbest(segments[where[i]], n)
+        options.append([(own[0][0], mine), *[p for p in own if p[1] != mine][: n - 1]])
+    into = [()] + [[(k, score - own[0][0], alt) for alt, (score, _) in reversed([*enumerate(own)])] for k, own in enumerate(options)]
     paths = backward_astar(len(few) + 1, into.__getitem__, [0] * (len(few) + 1), n)
     out = []
     for change, alts in paths:
