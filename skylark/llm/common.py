@@ -53,6 +53,21 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """df written to the shared folder in as many buckets of the keys as a shuffle has partitions; joins on the keys don't move it again.
+
+    Buckets need a table of the catalog; only its files are kept, the catalog entry goes at once.
+    """
+    spark = df.sparkSession
+    name, n = f"buckets_{uuid.uuid4().hex}", n_partitions(spark)
+    path = f"{shared_dir(spark)}/tables/{name}"
+    df.write.format("parquet").bucketBy(n, *keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    table = spark.table(name)
+    table._written_to = path
+    spark.sql(f"drop table {name}")
+    return table
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling
-from .common import global_prefix, written
+from .common import bucketed, discard, n_partitions, written
 from .graph import components
 
 #: 8 chunks of 6 symbols of 16 bits; a chunk may hold 1 wrong symbol. By pigeonhole every pair of signatures
@@ -21,8 +21,10 @@ SYMBOLS = CHUNKS * PER_CHUNK
 _rng = np.random.default_rng(85)
 _MULT = (_rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _ADD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)[:, None]
-#: Texts of a cluster that meet in one task; one of more than HEAVY shingles counts as several.
-BLOCK, HEAVY = 256, 8192
+#: Pivots of a bucket: one in the first round, four in the second, then so many times more in each.
+WIDEN = 8
+#: Texts that are compared with one copy of a pivot's text.
+BLOCK = 256
 
 
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
@@ -79,52 +81,21 @@ def _keys(sign: str = "sign"):
 
 
 def _confirm(width: int, percent: int):
-    """Of the texts under one key (blocks 0 and 1 of a cluster) the links, as a spanning forest."""
-
-    def links(rows: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
-        sets = [shingle_set(t, width) for _, _, t in rows]
-        ids, sides = [r[0] for r in rows], np.array([r[1] for r in rows])
-        sizes = np.array([len(s) for s in sets])
-        _, dense = np.unique(np.concatenate(sets), return_inverse=True)
-        cuts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        root = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        mark = np.zeros(int(dense.max()) + 1, np.int64)
-        two = sides.any() and not sides.all()
-        for i in range(len(rows)):
-            if two and sides[i]:
-                continue
-            own = dense[cuts[i] : cuts[i] + sizes[i]]
-            mark[own] = 1
-            common = np.add.reduceat(mark[dense], cuts)
-            mark[own] = 0
-            fits = 100 * common >= percent * (sizes + sizes[i] - common)
-            for j in np.flatnonzero(fits & (sides == 1) if two else fits):
-                a, b = find(i), find(int(j))
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    yield ids[i], ids[int(j)]
+    """Rows come by (pivot, block), the pivot's own text first; gives (pivot, row) of each link. Two sets are in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
-        pack = lambda got: pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], names=["u", "v"])
+        lead = np.empty(0, np.uint64)
         for batch in batches:
-            for k, side, ident, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if k != key:
-                    out += links(rows) if len(rows) > 1 else ()
-                    key, rows = k, []
-                rows.append((ident, side, text))
-            if len(out) > 10_000:
-                yield pack(out)
-                out = []
-        out += links(rows) if len(rows) > 1 else ()
-        yield pack(out)
+            out = []
+            for pivot, side, ident, text in zip(*batch.columns):
+                own = shingle_set(text.as_py(), width)
+                if not side.as_py():
+                    lead = own
+                    continue
+                common = len(np.intersect1d(lead, own, assume_unique=True))
+                if 100 * common >= percent * (len(lead) + len(own) - common):
+                    out.append((pivot.as_py(), ident.as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return run
 
@@ -135,12 +106,67 @@ def signatures(numbered: DataFrame, ident: str, text: str, width: int) -> DataFr
     return narrow.mapInArrow(_signed(width), "_row long, doc_id long, mark long, n_shingles long, digest binary, sign binary")
 
 
-def candidate_clusters(classes: DataFrame) -> DataFrame:
-    """(node, component) of classes that share keys, directly or through others."""
-    keys = classes.select("rep", F.explode(_keys()).alias("key"))
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).filter("n > 1")
-    stars = keys.join(buckets.select("key", "lead"), "key").filter("rep <> lead").select("rep", "lead").distinct()
-    return components(written(stars))
+def confirmed(pairs: DataFrame, numbered: DataFrame, text: str, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (pivot, rep) that are links on full sets, as (u, v).
+
+    A row's text moves once for each of its pairs; a pivot's once for each block of about 256 of its pairs, so no pivot fills a task.
+    """
+    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
+    dealt = pairs.join(blocks, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), "_blocks").alias("block"), "rep")
+    sides = dealt.select("pivot", "block", F.lit(1).alias("side"), F.col("rep").alias("_row"))
+    leads = dealt.select("pivot", "block", F.lit(0).alias("side"), F.col("pivot").alias("_row")).distinct()
+    moved = numbered.select("_row", F.col(text).alias("text")).join(sides.union(leads), "_row")
+    n = n_partitions(numbered.sparkSession)
+    groups = moved.select("pivot", "block", "side", "_row", "text").repartition(n, "pivot", "block").sortWithinPartitions("pivot", "block", "side")
+    return written(groups.select("pivot", "side", "_row", "text").mapInArrow(_confirm(width, percent), "u long, v long"))
+
+
+def linked(classes: DataFrame, numbered: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
+    """(node, component) of the classes (rep, n_shingles, sign) that are linked with others.
+
+    A bucket holds the classes that share a signature key. A pair of a bucket is settled once it was compared, or
+    excluded by its set sizes, or lies in one component. Each round compares the rows of a bucket with a pivot,
+    joins links into components, and drops the pivot, whose pairs are all settled; a bucket whose other rows
+    are of one component is done. So a family of m near copies takes about m comparisons, and only rows that
+    are in no family with the rest of their bucket become pivots. In the first round a row meets one pivot, the
+    greatest of all its buckets; in later ones the pivots are of the component with the greatest id first, hence
+    of late joiners, and their number grows eightfold a round, so that rounds end when all pairs of the hardest bucket are compared.
+    """
+    keys = classes.select("rep", "n_shingles", F.explode(_keys()).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    seats, found, tried, step = written(keys.join(shared, "key")), None, None, 0
+    while True:
+        own = F.coalesce("component", "rep") if found is not None else F.col("rep")
+        labelled = seats.join(found.withColumnRenamed("node", "rep"), "rep", "left") if found is not None else seats
+        labelled = labelled.select("key", "rep", "n_shingles", own.alias("c"))
+        unsettled = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+        now = written(labelled.join(unsettled, "key"))
+        discard(seats)
+        if not now.limit(1).count():
+            return found
+        ways = 4 * WIDEN ** (step - 1) if step else 1
+        part = F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(ways))
+        pivots = now.groupBy("key", part.alias("part")).agg(F.max(F.struct("c", "rep", "n_shingles")).alias("p")).select("key", "p.*")
+        pivots = written(pivots.select("key", F.col("c").alias("pc"), F.col("rep").alias("pivot"), F.col("n_shingles").alias("pn")))
+        fits = f"c <> pc and 100 * least(n_shingles, pn) >= {percent} * greatest(n_shingles, pn)"
+        met = now.join(pivots, "key").filter(fits).select("pivot", "rep")
+        if step == 0:
+            pairs = met.groupBy("rep").agg(F.max("pivot").alias("pivot"))
+        else:
+            pairs = met.groupBy(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).agg(F.max("pivot").alias("pivot"))
+            pairs = pairs.select("a", "b", "pivot", F.expr("if(pivot = a, b, a)").alias("rep")).join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs.select("pivot", "rep"))
+        links = confirmed(pairs, numbered, text, width, percent)
+        done = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
+        tried = done if tried is None else tried.union(done)
+        if links.limit(1).count():
+            found = written(components(links if found is None else links.union(found.select("node", "component"))))
+        seats = now.select("key", "rep", "n_shingles")
+        if step:
+            seats = seats.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
+        seats = written(seats)
+        discard(now)
+        step += 1
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -152,21 +178,25 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     and empty texts have no shingles and are linked with nothing; an empty table gives no rows; other columns
     are ignored.
     """
-    numbered = written(docs.select(F.monotonically_increasing_id().alias("_row"), ident, text))
+    numbered = numbered_rows(docs.select(ident, text))
     kept = F.when(F.col("component_id").isNull(), F.col("_row") == F.col("head")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
     return near_rows(numbered, ident, text, width, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """docs with a unique `_row`, in buckets of it: the one time that all texts are shuffled."""
+    spark = docs.sparkSession
+    return bucketed(docs.withColumn("_row", F.monotonically_increasing_id()).repartition(n_partitions(spark), "_row"), "_row")
+
+
 def near_rows(numbered: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(_row, doc_id, n_shingles, component_id, head) for each row; numbered has a unique _row, and is written.
+    """(_row, doc_id, n_shingles, component_id, head) for each row of numbered_rows().
 
     Rows are linked when 100 x intersection >= percent x union of their shingle sets. Equal sets are one
     class from the start; only one row of a class goes on, so copies never pair. Classes that share a
-    signature key form clusters (a superset of the components). Inside a cluster all texts are compared on
-    full sets, in blocks of 256 (fewer if they are long) dealt over tasks by block pair, ordered by set size so that block pairs whose
-    sizes exclude the threshold are skipped; each task returns a spanning forest of its links, never all
-    pairs. head is the _row that stands for the group: the one with the smallest id, of these the one with the
-    least hash of the text; rows without id come last. component_id is its id.
+    signature key are compared on full sets, see linked(). head is the _row that stands for the group: the one
+    with the smallest id, of these the one with the least hash of the text; rows without id come last.
+    component_id is its id.
     """
     signed = written(signatures(numbered, ident, text, width))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", F.col("_row").alias("rep"))
@@ -176,26 +206,19 @@ def near_rows(numbered: DataFrame, ident: str = "doc_id", text: str = "text", wi
         .agg(F.min(F.struct(order.alias("first"), "n_shingles", "sign")).alias("x"))
         .select("digest", F.col("x.first.rep").alias("rep"), F.col("x.first").alias("first"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sign").alias("sign"))
     )
-    clusters = candidate_clusters(classes.select("rep", "sign"))
-    sized = classes.select("rep", "n_shingles").join(clusters.withColumnRenamed("node", "rep"), "rep")
-    ranked = global_prefix(sized, ["component", "n_shingles", "rep"], {"_n": F.ceil(F.col("n_shingles") / HEAVY).cast("long")})
-    first = ranked.groupBy("component").agg(F.min("_n_before").alias("_first"))
-    placed = written(ranked.join(first, "component").select("component", "rep", "n_shingles", F.expr(f"(_n_before - _first) div {BLOCK}").alias("block")))
-    blocks = placed.groupBy("component", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    met = blocks.alias("a").join(blocks.alias("b"), "component").filter(f"a.block < b.block and 100 * a.hi >= {percent} * b.lo")
-    apart = met.select("component", F.col("a.block").alias("i"), F.col("b.block").alias("j"))
-    own = blocks.select("component", F.col("block").alias("i"), F.col("block").alias("j"))
-    tasks = own.union(apart).withColumn("key", F.xxhash64("component", "i", "j"))
-    seats = tasks.select("component", F.col("i").alias("block"), F.lit(0).alias("side"), "key").union(
-        tasks.filter("i <> j").select("component", F.col("j").alias("block"), F.lit(1).alias("side"), "key")
+    found = linked(classes.select("rep", "n_shingles", "sign"), numbered, text, width, percent)
+    named = classes.select("digest", "rep", "first")
+    if found is not None:
+        joined = classes.select("rep", "first").join(found.withColumnRenamed("node", "rep"), "rep")
+        best = written(joined.groupBy("component").agg(F.min("first").alias("best")))
+        named = named.join(joined.join(best, "component").select("rep", "best"), "rep", "left").select("digest", F.coalesce("best", "first").alias("first"))
+    named = written(named.select("digest", F.col("first.doc_id").alias("component_id"), F.col("first.rep").alias("head")))
+    labelled = signed.join(named, "digest", "left")
+    alone = F.col("digest").isNull()
+    return labelled.select(
+        "_row",
+        "doc_id",
+        "n_shingles",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("_row")).otherwise(F.col("head")).alias("head"),
     )
-    texts = numbered.select(F.col("_row").alias("rep"), F.col(text).alias("text"))
-    members = placed.join(written(seats), ["component", "block"]).select("rep", "key", "side")
-    dealt = texts.join(members, "rep").select("key", "side", "rep", "text").repartition("key").sortWithinPartitions("key")
-    links = written(dealt.mapInArrow(_confirm(width, percent), "u long, v long"))
-    joined = written(components(links).withColumnRenamed("node", "rep"))
-    firsts = written(joined.join(classes.select("rep", "first"), "rep").groupBy("component").agg(F.min("first").alias("best")))
-    named = joined.join(firsts, "component").select("rep", "best")
-    labelled = signed.join(classes.select("digest", "rep", "first"), "digest", "left").join(named, "rep", "left")
-    best = F.coalesce("best", "first", order)
-    return labelled.select("_row", "doc_id", "n_shingles", best["doc_id"].alias("component_id"), best["rep"].alias("head"))
