@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,8 +98,9 @@ def _pairs(k: int):
         last: tuple | None = None
         for batch in batches:
             out = []
-            for run_id, guest, ident, text in zip(*(c.to_pylist() for c in batch.columns)):
-                points = _points(text)
+            for run_id, guest, ident, text in zip(*batch.columns):
+                run_id, guest, ident = run_id.as_py(), guest.as_py(), ident.as_py()
+                points = _points(text.as_py())
                 own = sketch(points, k)
                 if last is not None and last[0] == run_id and not last[1]:
                     _, _, before, before_points, before_own = last
@@ -124,33 +126,32 @@ def fingerprint_edits(docs: DataFrame, ident: str = "doc_id", text: str = "text"
     Null texts count as empty (n_chars 0); null ids come last; rows of equal ids are ordered by text; a
     table of one row is its own next; an empty table gives no rows; other columns are ignored.
 
-    One shuffle moves the texts into runs of neighbouring ids, cut at quantiles of the ids. A run also gets
-    a copy of the first rows of the next run, so the pairs across runs need no second shuffle. The quantiles
-    and the first ids of the runs, which are all that the driver sees, are as many as the runs.
+    One shuffle moves the texts into runs of neighbouring rows, one a partition, in the order of id and text
+    hash. A run also gets a copy of the first row of the next run, so the pairs across runs need no second
+    shuffle. Where runs begin is found by ranging the ids and hashes alone; these first places, two a
+    partition of the shuffle, are all that the driver sees.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(ident).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    runs = 4 * n_partitions(spark)
-    row = narrow.agg(F.percentile_approx("doc_id", [i / runs for i in range(1, runs)], 10_000).alias("cuts")).first()
-    cuts = np.unique(np.array(row["cuts"] or [], np.int64))
-
-    @F.pandas_udf("int")
-    def run_of(x: pd.Series) -> pd.Series:
-        found = len(cuts) - np.searchsorted(cuts, x.fillna(0).astype("int64").to_numpy(), side="left")
-        return pd.Series(np.where(x.isna(), len(cuts) + 1, found), dtype="int32")
-
-    placed = narrow.select("*", run_of("doc_id").alias("run"), F.xxhash64("text").alias("tie"))
-    first = F.min(F.struct((-F.col("doc_id")).alias("id"), "tie")).alias("first")
-    heads = sorted(placed.groupBy("run").agg(first).collect())
+    order = [F.col("doc_id").isNull().alias("last"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("down"), F.xxhash64("text").alias("tie")]
+    ranged = narrow.select(*order).repartitionByRange(2 * n_partitions(spark), "last", "down", "tie")
+    first = F.min(F.struct("last", "down", "tie")).alias("first")
+    heads = sorted(tuple(r.first) for r in ranged.groupBy(F.spark_partition_id().alias("part")).agg(first).collect())
     if not heads:
-        return narrow.limit(0).mapInArrow(_pairs(k), _SCHEMA)
-    hosts = [(r, f["id"], f["tie"], heads[i - 1][0]) for i, (r, f) in enumerate(heads)]  # the run before; of the first, the last
-    table = spark.createDataFrame(hosts, "head_run int, head long, head_tie long, host int")
-    same = (F.col("run") == F.col("head_run")) & (-F.col("doc_id")).eqNullSafe(F.col("head")) & (F.col("tie") == F.col("head_tie"))
-    joined = placed.join(F.broadcast(table), same, "left")  # a row a run
-    seats = F.filter(F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("guest")), F.struct(F.col("host").alias("run"), F.lit(1).alias("guest"))), lambda x: x["run"].isNotNull())
-    dealt = joined.select(F.explode(seats).alias("seat"), "doc_id", "text", "tie").select("seat.*", "doc_id", "text", "tie")
-    ordered = dealt.repartition(n_partitions(spark), "run").sortWithinPartitions("run", "guest", F.col("doc_id").desc_nulls_last(), "tie")
+        return narrow.limit(0).select(F.lit(0).alias("run"), F.lit(0).alias("guest"), "doc_id", "text").mapInArrow(_pairs(k), _SCHEMA)
+
+    @F.pandas_udf("array<int>")
+    def runs_of(last: pd.Series, down: pd.Series, tie: pd.Series) -> pd.Series:
+        """The run of a row; of the first row of a run also the run before it (of the first run, the last)."""
+        out = []
+        for place in zip(last, down, tie):
+            own = bisect_right(heads, place) - 1
+            out.append([own, (own - 1) % len(heads)] if place == heads[own] else [own])
+        return pd.Series(out)
+
+    seats = narrow.select("doc_id", "text", *order).withColumn("runs", runs_of("last", "down", "tie"))
+    dealt = seats.select("doc_id", "text", "last", "down", "tie", F.posexplode("runs").alias("guest", "run"))
+    ordered = dealt.repartitionById(len(heads), "run").sortWithinPartitions("run", "guest", "last", "down", "tie")
     return ordered.select("run", "guest", "doc_id", "text").mapInArrow(_pairs(k), _SCHEMA)
 
 

@@ -36,7 +36,7 @@ def place_records(records: DataFrame, order: Sequence[str], length: str, per_arc
     placed = placed.withColumn("archive", F.expr(f"_n_before div {per_archive}"))
     first = placed.groupBy("archive").agg(F.min("_b_before").alias("_first"))
     out = placed.join(first, "archive").withColumn("offset", F.col("_b_before") - F.col("_first"))
-    return out.drop("_first", "_n_before", "_n_total", "_b_before", "_b_total")
+    return written(out.drop("_first", "_n_before", "_n_total", "_b_before", "_b_total"))
 
 
 def merkle_tree(records: DataFrame) -> DataFrame:
@@ -45,19 +45,21 @@ def merkle_tree(records: DataFrame) -> DataFrame:
     Level 0 are the records: node is the offset, the hash covers offset, length and digest. A node of level i
     covers the records that start in one aligned range of 2^LEVELS[i-1] bytes, by the hashes of its children in
     order; the level above the last is the root, node 0. A range holds few children: 16, or on the first
-    level what 64 KB hold. Records that claim one offset are hashed together.
+    level what 64 KB hold. Records that claim one offset are hashed together; an empty replica has no nodes.
+    Each level is written once and read for the next.
     """
     leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
     level = records.filter("archive is not null and offset is not null").select("archive", F.col("offset").alias("node"), leaf.alias("hash"))
     level = level.groupBy("archive", "node").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("hash")), ""), 256).alias("hash"))
-    tree, bits = level.select(F.lit(0).alias("level"), "*"), 0
+    level, bits = written(level), 0
+    tree = level.select(F.lit(0).alias("level"), "*")
     for i, b in enumerate((*LEVELS, 62), 1):
         children = F.array_sort(F.collect_list(F.struct("node", "hash")))
         parent = F.shiftright("node", b - bits) if b < 62 else F.lit(0).cast("long")
-        level = level.groupBy("archive", parent.alias("up")).agg(children.alias("c"))
-        level = level.select("archive", F.col("up").alias("node"), F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"], x["hash"])), ","), 256).alias("hash"))
+        above = level.groupBy("archive", parent.alias("up")).agg(children.alias("c"))
+        level = written(above.select("archive", F.col("up").alias("node"), F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["node"], x["hash"])), ","), 256).alias("hash")))
         tree, bits = tree.union(level.select(F.lit(i).alias("level"), "*")), b
-    return written(tree)
+    return tree
 
 
 def damaged_records(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each operator against a plain restatement on small tables, with nulls, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import heapq
 import itertools
 import math
 import random
@@ -41,23 +42,65 @@ def test_sharding(spark, sf_dir, rows, empty):
     assert sharding.assign_shards(empty, ["doc_id"], F.lit(1)).count() == 0
 
 
-def plain_sketch(text):
-    return order_minhash._text(order_minhash.sketch(order_minhash._points(text)))
+M64 = 2**64 - 1
 
 
-def test_order_minhash(spark, sf_dir, rows, empty):
-    got = QUERIES["op2_order_minhash"](spark, sf_dir).collect()
-    assert len(got) == len(rows)
-    tie = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t, *_ in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
-    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]]))
+def plain_mix(x):
+    for _ in range(2):
+        x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & M64
+    return x ^ x >> 32
+
+
+def plain_sketch(text):
+    """Restated in whole numbers: hash the k-mers, number their occurrences, take the two least of each function in text order."""
+    if not text:
+        return "e0e0" * 64
+    letters = []
+    for c in text:
+        x = (ord(c) + 1) * 0x9FB21C651E98DF25 & M64
+        letters.append(x ^ x >> 29)
+    k = min(6, len(text))
+    grams = []
+    for i in range(len(text) - k + 1):
+        h = 0
+        for x in letters[i : i + k]:
+            h = (h * 0x9E3779B97F4A7C15 + x) & M64
+        grams.append(h)
+    seen, items = Counter(), []
+    for h in grams:
+        name = h >> len(grams).bit_length()
+        items.append(plain_mix((h + seen[name] * 0x9E3779B97F4A7C15) & M64) >> 32)
+        seen[name] += 1
+    out = []
+    for m in order_minhash._MULT[:, 0].tolist():
+        two = sorted(heapq.nsmallest(2, range(len(items)), key=lambda i: (items[i] * m & 0xFFFFFFFF, i)))
+        symbol = items[two[0]] * 0xA0761D6478BD642F & M64
+        if len(two) > 1:
+            symbol = (plain_mix(symbol) + items[two[1]]) & M64
+        out.append(f"{plain_mix(symbol) >> 48:04x}")
+    return "".join(out)
+
+
+def plain_edits(rows, spark):
+    tie = {r["t"]: r["h"] for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]]))
     want = Counter()
     for k, (ident, text) in enumerate(order):
         following = order[(k + 1) % len(order)][1]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        want[ident, len(text), hashlib.sha256(edited.encode()).hexdigest(), plain_sketch(text), plain_sketch(edited)] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        own, other, beyond = plain_sketch(text), plain_sketch(edited), plain_sketch(following)
+        near = lambda x: sum(own[i : i + 4] == x[i : i + 4] for i in range(0, 256, 4)) / 64
+        want[ident, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, near(other), near(beyond)] += 1
+    return want
+
+
+def test_order_minhash(spark, sf_dir, rows, empty):
+    got = QUERIES["op2_order_minhash"](spark, sf_dir).collect()
+    assert Counter(tuple(r) for r in got) == plain_edits([(i, t) for i, t, *_ in rows], spark)
+    crowd = [(None, f"text {i % 5} " * i) for i in range(12)] + [(7, "same id " + "x" * i) for i in range(9)] + [(7, "same id ")] * 3 + [(None, None)] * 2
+    table = spark.createDataFrame([(i, t, 1, "c") for i, t in crowd], "doc_id long, text string, run int, tie string")
+    assert Counter(tuple(r) for r in order_minhash.fingerprint_edits(table).collect()) == plain_edits(crowd, spark)
     assert order_minhash.fingerprint_edits(empty).count() == 0
     alone = order_minhash.fingerprint_edits(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
     assert alone.near_next == 1.0
@@ -104,6 +147,16 @@ def test_warc_fixity(spark):
     assert warc_fixity.audit(own, replica.limit(0)).filter("status = 'missing'").count() == 60
     tree = warc_fixity.merkle_tree(replica)
     assert tree.filter("level = 6").count() == 3
+    assert warc_fixity.audit(own.limit(0), replica.limit(0)).count() == 0
+
+
+def test_warc_fixity_of_empty_and_null_pages(spark, tmp_path):
+    pages = "page_id long, url string, html string"
+    spark.createDataFrame([], pages).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert QUERIES["op3_warc_fixity"](spark, f"{tmp_path}/none").count() == 0
+    spark.createDataFrame([(1, None, None), (7, None, "x"), (None, "u", None), (5, "u", "y"), (5, "u", "y")], pages).write.parquet(f"{tmp_path}/some/pages.parquet")
+    got = Counter((r.page_id, r.status) for r in QUERIES["op3_warc_fixity"](spark, f"{tmp_path}/some").collect())
+    assert got == Counter({(1, "ok"): 1, (7, "missing"): 1, (None, "ok"): 1, (5, "changed"): 2})
 
 
 def test_mixing(spark, sf_dir, rows, empty):
