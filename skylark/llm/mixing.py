@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, global_prefix, word_count, written
+from .common import global_prefix, word_count, written
 from .quality_rules import SYMBOLS
 
 
 def quality_weight(text: Column) -> Column:
-    """Share of the text that is no markup symbol times the share of its lines that are no repeats, 0.05 at least.
+    """Share of the characters that are no markup symbols times the share of the lines that are no repeats, 0.05 at least.
 
-    Measures as in quality_rules, so that no language or word length is favoured; 1 for a text without words.
+    Symbols as in quality_rules, runs of line feeds end a line; no language or word length is favoured. 1 for
+    an empty text.
     """
     t = F.coalesce(text, F.lit(""))
-    chars, symbols = F.length(F.translate(t, SPACES, "")), F.length(t) - F.length(F.translate(t, SYMBOLS, ""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    fresh = F.size(F.array_distinct(lines)).cast("double") / F.size(lines)
-    return F.when(chars > 0, F.greatest((F.lit(1.0) - symbols.cast("double") / chars) * fresh, F.lit(0.05))).otherwise(F.lit(1.0))
+    clean = F.lit(1.0) - (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("double") / F.length(t)
+    fresh = F.transform(F.array(F.split(t, "\n+")), lambda x: F.size(F.array_distinct(x)).cast("double") / F.size(x))
+    return F.when(F.length(t) > 0, F.greatest(clean * F.get(fresh, F.lit(0)), F.lit(0.05))).otherwise(F.lit(1.0))
 
 
 def uniform(ident: Column, text: Column, seed: int) -> Column:

@@ -118,8 +118,8 @@ select page_id, archive, (sum(length) over (partition by archive order by page_i
 from d""",
     "op4_mixing": f"""
 with d as (select doc_id, source, coalesce(text, '') t, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint size,
-        length(regexp_replace(coalesce(text, ''), '{_SPACE}', '', 'g')) chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) symbols,
-        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) lines
+        length(coalesce(text, '')) chars, length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) symbols,
+        string_split_regex(coalesce(text, ''), '\n+') lines
       from documents),
 k as (select doc_id, source, size,
         -ln((('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null') || ':' || md5(t)), 1, 12))::bigint::double + 0.5) / 281474976710656.0)
