@@ -118,8 +118,12 @@ def collapse_blank_lines(c: Column | str) -> Column:
 
 
 def without_css(c: Column | str) -> Column:
-    """Without style rules (`selector { property: value }`) and @media blocks that leak into scraped text."""
-    return chain(col(c), (r"@media[^{]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", ""), (r"[.#]?[\w\-.#:,> ]+\{[^{}]*:[^{}]*\}", ""))
+    """Without style rules (`selector { property: value; }`) and blocks of them under an at-rule that leak into scraped text.
+
+    A selector has no spaces but before its brace, so that words in front of a rule stay; braces without a property stay.
+    """
+    rule = r"(?:[.#:]{0,2}[\w\-.#:,>\[\]=*~+]+\s*)?\{\s*(?:[\w-]+\s*:[^{};]*;?\s*)+\}"
+    return chain(col(c), (rf"@[\w-]+[^{{}}]*\{{(?:\s*{rule})*\s*\}}", ""), (rf"{rule}\.?", ""))
 
 
 def without_adjacent_repeats(parts: Column | str) -> Column:

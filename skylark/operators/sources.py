@@ -85,17 +85,18 @@ def collect_urls(df: DataFrame, sources: str = "sources", domains: bool = False,
 def categorize_sources(df: DataFrame, mapper: DataFrame, sources: str = "sources", domains: bool = False) -> DataFrame:
     """df whose sources also have category and subcategory from mapper (key, topic, subtopic); null if unknown.
 
-    Sources are exploded, joined on their key and gathered again per row; order stays.
+    Sources are exploded with the other columns of their row, joined on their key and gathered again per row;
+    order stays. A row without sources has null.
     """
-    field = "domain" if domains else "url"
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", F.posexplode(sources).alias("_ord", "_s"))
+    field, others = "domain" if domains else "url", [c for c in df.columns if c != sources]
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.struct(F.lit(0).alias("_"), *others).alias("_rest"), sources)
+    each = rows.select("_row", "_rest", F.posexplode_outer(sources).alias("_ord", "_s"))
     labels = mapper.groupBy("key").agg(F.max_by(F.struct("topic", "subtopic"), F.struct("topic", "subtopic")).alias("_label"))
     joined = each.join(labels, F.col("_s")[field] == F.col("key"), "left")
-    done = joined.select("_row", F.struct("_ord", F.col("_s").withField("category", F.col("_label.topic")).withField("subcategory", F.col("_label.subtopic")).alias("s")).alias("x"))
-    again = done.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["s"]).alias("_new"))
-    out = rows.join(again, "_row", "left")
-    return out.withColumn(sources, F.col("_new")).drop("_row", "_new")
+    labelled = F.col("_s").withField("category", F.col("_label.topic")).withField("subcategory", F.col("_label.subtopic"))
+    gathered = F.array_sort(F.collect_list(F.when(F.col("_ord").isNotNull(), F.struct("_ord", labelled.alias("s")))))
+    again = joined.groupBy("_row").agg(F.first("_rest").alias("_rest"), F.transform(gathered, lambda x: x["s"]).alias("_new"))
+    return again.select(*[F.when(F.size("_new") > 0, F.col("_new")).alias(c) if c == sources else F.col("_rest")[c].alias(c) for c in df.columns])
 
 
 def normalize_sources(df: DataFrame, sources: str = "sources") -> DataFrame:

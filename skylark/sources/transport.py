@@ -13,7 +13,19 @@ from dataclasses import dataclass, field
 from typing import Any, Protocol
 
 PREVIEW = 500
-_SECRETS = re.compile(r"\b(?:Bearer\s+[A-Za-z0-9._~+/=-]+|google-[a-z-]*(?:code|token)|ya29\.[A-Za-z0-9._-]+|1//[A-Za-z0-9._-]+)")
+#: Names, in headers, JSON or query strings, whose values are secret.
+SECRET_NAMES = "access_token refresh_token id_token client_secret api_key apikey key code password authorization".split()
+#: What tokens look like, as their issuers and RFC 6750 and 7519 describe them.
+TOKEN_SHAPES = {
+    "http scheme": r"(?i:bearer|basic)[ \t]+[^\s\"',]+",
+    "json web token": r"eyJ[\w-]+\.[\w-]+\.[\w-]*",
+    "google access token": r"ya29\.[\w.-]+",
+    "google refresh token": r"1//[\w.-]+",
+    "google api key": r"AIza[\w-]{30,}",
+}
+_NAMED = re.compile(rf"""(?i)(?<![a-z0-9_])((?:{"|".join(SECRET_NAMES)})["']?[ \t]*[:=][ \t]*["']?)[^\s"'&,;}}]+""")
+_SHAPED = re.compile("|".join(rf"(?<![\w-])(?:{p})" for p in TOKEN_SHAPES.values()))
+HIDDEN = "[redacted]"
 
 
 class ServiceError(RuntimeError):
@@ -73,23 +85,29 @@ class RecordedTransport:
 
 
 def redact(message: str, secrets: Sequence[str | None] = ()) -> str:
-    for secret in secrets:
-        if secret and secret.strip():
-            message = message.replace(secret.strip(), "[redacted]")
-    return _SECRETS.sub("[redacted]", message)
+    """message without the given values, token-like strings and values of secret names."""
+    known = sorted({s.strip() for s in secrets if s and s.strip()}, key=len, reverse=True)
+    if known:
+        message = re.sub("|".join(map(re.escape, known)), HIDDEN, message)
+    return _NAMED.sub(rf"\g<1>{HIDDEN}", _SHAPED.sub(HIDDEN, message))
 
 
 def error_message(service: str, status: int, body: str, secrets: Sequence[str | None] = ()) -> str:
     """Service, status and the first 500 characters of the answer, without secrets."""
-    clean = redact(body, secrets)
-    return f"{service} error: {status}. Response body: {clean[:PREVIEW] + '...' if len(clean) > PREVIEW else clean}"
+    said = redact(body, secrets)
+    return f"{service} answered {status}: {said[:PREVIEW]}{'...' if len(said) > PREVIEW else ''}"
 
 
 def send_json(transport: Transport, request: Request, service: str, secrets: Sequence[str | None] = (), retries: int = 3,
               first: float = 1.0, factor: float = 2.0, longest: float = 30.0, linear: bool = False, wait: Callable[[float], None] = time.sleep) -> Any:
-    """The answer as JSON; statuses 429 and 5xx are tried again with growing pauses."""
+    """The answer as JSON; statuses 429 and 5xx and network errors are tried again with growing pauses."""
     for attempt in range(retries + 1):
-        status, body = transport.send(request)
+        try:
+            status, body = transport.send(request)
+        except OSError as e:
+            if attempt == retries:
+                raise
+            status, body = 503, str(e)
         if 200 <= status < 300:
             return json.loads(body) if body.strip() else None
         if attempt == retries or (status != 429 and status < 500):

@@ -94,9 +94,9 @@ def generate_competitors(brand: Mapping[str, Any], least: int = 3, strict: bool
 
 
 def portfolio_keywords(brands: DataFrame, model: str = MODEL, **options: Any) -> DataFrame:
-    """brands whose portfolio entries have keywordSeeds; the entries of all brands are asked in parallel."""
-    rows = brands.withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("_row", F.coalesce(F.get("sectors", F.lit(0)), F.lit("")).alias("sector"), F.posexplode("portfolio").alias("ord", "p"))
+    """brands whose portfolio entries have keywordSeeds; the entries of all brands are asked in parallel, of equal brands once."""
+    rows = brands.withColumn("_row", F.sha2(F.to_json(F.struct(*brands.columns)), 256))
+    each = rows.dropDuplicates(["_row"]).select("_row", F.coalesce(F.get("sectors", F.lit(0)), F.lit("")).alias("sector"), F.posexplode("portfolio").alias("ord", "p"))
     prompt = fill("Product: {name} ({category}). Sector: {sector}.", name=F.col("p.name"), category=F.coalesce("p.category", F.lit("")), sector=F.col("sector"))
     asked = call(each, prompt, _object(seeds=_SEEDS), "Give seed keywords under which people search for the product.", model=model, **options)
     seeded = asked.select("_row", F.struct("ord", F.col("p.name").alias("name"), F.col("p.category").alias("category"), F.from_json("reply", "struct<seeds:array<string>>")["seeds"].alias("keywordSeeds")).alias("x"))

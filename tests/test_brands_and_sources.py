@@ -3,7 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from skylark.operators import brands, citations, sources, topics, visibility
+from skylark.operators import brands, citations, payloads, sources, topics, visibility
 from skylark.plans import payload_queries, queries
 
 SOURCES = "array<struct<title:string,url:string,domain:string,cited:boolean,snippet:string,positions:array<int>>>"
@@ -129,3 +129,21 @@ def test_top_domains_has_no_cap(spark, tmp_path):
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     got = queries.top_domains(spark, str(tmp_path)).collect()
     assert sorted(r["rank"] for r in got) == list(range(1, 1201))
+
+
+def test_names_of_domains(spark):
+    cases = {"www.acme-corp.com": ["acme-corp", "acme corp"], "AcmeCorp.co.uk": ["acmecorp", "acme corp"], "shop.acme.de": ["shop.acme"], "localhost": ["localhost"], "m.acme.org": ["acme"]}
+    df = spark.createDataFrame([(d,) for d in cases], "d string")
+    assert [r.n for r in df.select(citations.domain_names(F.col("d")).alias("n")).collect()] == list(cases.values())
+
+
+def test_style_rules_and_images_go(spark):
+    texts = [
+        ("a :root{--x: 1px;}.b{color:red}.c{margin:0;padding:0}. end", "a end"),
+        ("see @supports (display:grid){.x{display:grid}} this  {not css} ", "see this {not css}"),
+        ("one\r\n\n\n\n two", "one\n\ntwo"),
+    ]
+    df = spark.createDataFrame(texts, "t string, want string")
+    assert [r.got for r in df.select(payloads.clean_text(F.col("t")).alias("got")).collect()] == [w for _, w in texts]
+    answer = spark.createDataFrame([("Hi ![pic](http://x/y.png) there\n Image \n\n\n\nend",)], "t string").select(payloads.clean_answer(F.col("t"))).first()[0]
+    assert answer == "Hi  there\n\nend"

@@ -195,3 +195,24 @@ def test_stream_enrichment(spark, tmp_path):
     query = enrich.enrich_stream(stream, lambda d: d.withColumn("n", F.length("text")), str(out), str(tmp_path / "cp"))
     query.awaitTermination(60)
     assert sorted(r.n for r in spark.read.parquet(str(out)).collect()) == [3, 4]
+
+
+def test_redaction_by_name_and_shape():
+    said = transport.redact('{"access_token": "s3cr3t", "note": "ya29.abc-d"} ?key=AbC12&x=1 eyJhbGci.eyJzdWIi.sig ok', ["ok-value"])
+    assert not [x for x in ("s3cr3t", "ya29", "AbC12", "eyJ") if x in said] and said.endswith("ok") and "x=1" in said
+
+
+def test_network_errors_are_tried_again():
+    class Shaky:
+        calls = 0
+
+        def send(self, request):
+            self.calls += 1
+            if self.calls < 3:
+                raise TimeoutError("slow")
+            return 200, "{}"
+
+    shaky = Shaky()
+    assert transport.send_json(shaky, transport.Request("GET", "http://x"), "s", wait=lambda _: None) == {} and shaky.calls == 3
+    with pytest.raises(OSError):
+        transport.send_json(Shaky(), transport.Request("GET", "http://x"), "s", retries=1, wait=lambda _: None)
