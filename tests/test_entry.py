@@ -19,3 +19,9 @@ def test_entry_without_the_training_data_subpackage(tmp_path, gone):
     said = subprocess.run([sys.executable, "-c", SHOW], cwd=tmp_path, env={"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True).stdout
     names = said.split()
     assert "page_structure" in names and not [n for n in names if n.startswith("op") and n[2].isdigit() or n == "pipeline"]
+
+
+def test_inventory_names_each_query():
+    from skylark.plans import inventory, payload_queries, queries  # noqa: F401
+
+    assert set(inventory.OPERATORS) == set(queries.QUERIES)
