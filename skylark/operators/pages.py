@@ -48,7 +48,7 @@ def heading_forest(el: Column) -> Column:
 def heading_stats(forest: Column | str) -> Column:
     """Totals of a heading forest; a first heading below h1 counts as skipped, as does a child two levels down."""
     f = col(forest)
-    level_of = lambda ord_: F.get(F.filter(f, lambda p: p["ord"] == ord_), F.lit(0))["level"]
+    level_of = lambda ord_: F.get(f, ord_)["level"]  # noqa: E731  ord is the place in the forest
     skipped = F.filter(f, lambda h: h["level"] > F.coalesce(level_of(h["parent"]), F.lit(0)) + 1)
     texts = F.filter(F.transform(f, lambda h: F.lower(F.trim(h["text"]))), lambda t: t != "")
     parents = F.filter(F.transform(f, lambda h: h["parent"]), lambda p: p.isNotNull())
