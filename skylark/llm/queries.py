@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, token_alignment, url_filters, warc_fixity
+from . import hard_negatives, mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, token_alignment, url_filters, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_digests(docs, f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_order_minhash": op2_order_minhash,
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_quality_rules": op10_quality_rules,
     "op11_token_alignment": op11_token_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -179,4 +186,14 @@ q as (select m, least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) k from p),
 o as (select source, (f + m * k) / (n + k) <= 0.5 host_ok from h, q)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed) and host_ok kept
 from j join o on j.source is not distinct from o.source""",
+    "op12_hard_negatives": """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256.0::double * x::double)) v
+      from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id anchor_id, b.vec_id id, a.label = b.label same, list_inner_product(a.v, b.v)::bigint score
+      from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, id) n from s where same) where n <= 5),
+n as (select p.anchor_id, p.id positive_id, s.id negative_id, p.score positive_score, s.score negative_score,
+        row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) r
+      from p join s on s.anchor_id = p.anchor_id and not s.same and 30 * p.score <= 100 * s.score and 100 * s.score <= 90 * p.score)
+select anchor_id, positive_id, r::int as rank, negative_id, positive_score, negative_score from n where r <= 10""",
 }

@@ -143,7 +143,7 @@ def tokenise(df: DataFrame, byte_model: str, piece_model: str, ident: str = "doc
     encoded whole; repeated rows each; an empty table gives no rows; other columns are ignored. The files (a few
     MB) are read by the driver.
     """
-    models = []
+    models, most = [], BUNDLE
     for path in (byte_model, piece_model):
         with open(path, "rb") as f:
             models.append(df.sparkSession.sparkContext.broadcast(f.read()))
@@ -155,7 +155,7 @@ def tokenise(df: DataFrame, byte_model: str, piece_model: str, ident: str = "doc
             for i, value in enumerate(batch.column(1)):
                 held.append(value.as_py())
                 size += len(held[-1] or "")
-                if size >= BUNDLE or i + 1 == batch.num_rows:
+                if size >= most or i + 1 == batch.num_rows:
                     yield _bundle(batch.column(0).slice(start, len(held)), held, kinds)
                     held, size, start = [], 0, i + 1
 
