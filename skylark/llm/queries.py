@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hard_negatives, mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, token_alignment, url_filters, warc_fixity
+from . import hard_negatives, mixing, near_dedup, ngram_join, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, token_alignment, url_filters, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,6 +101,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_order_minhash": op2_order_minhash,
@@ -114,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_token_alignment": op11_token_alignment,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_ngram_join": op13_ngram_join,
 }
 
 _SPACE = r"[\x20\x09-\x0D]"
