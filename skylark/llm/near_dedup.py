@@ -12,35 +12,21 @@ from pyspark.sql import functions as F
 
 from . import rolling
 from .common import bucketed, discard, n_partitions, written
-from .graph import components
+from .linking import confirmed, linked, token_set
+from .shingles import in_blocks, shared_shingles, shingle_set
 
 #: 8 chunks of 6 symbols of 16 bits; a chunk may hold 1 wrong symbol. By pigeonhole every pair of signatures
 #: that differ in at most 8 * (1 + 1) - 1 = 15 of 48 symbols shares a key.
 CHUNKS, PER_CHUNK, SYMBOL_BYTES = 8, 6, 2
 SYMBOLS = CHUNKS * PER_CHUNK
+#: Pairs that share a key are compared on full sets up to this distance. A pair at similarity 0.80 lies beyond it
+#: once in a million times, at 0.85 in a thousand million; at 0.4, four of five pairs do.
+FARTHEST = 24
 _rng = np.random.default_rng(85)
 _MULT = (_rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _ADD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)[:, None]
-#: Pivots of a bucket: one in the first round, four in the second, then so many times more in each.
-WIDEN = 8
-#: Texts that are compared with one copy of a pivot's text.
-BLOCK = 256
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles (A-Z lower-cased, words between ASCII white space).
-
-    Fewer words than width make one shingle; no words, none.
-    """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = np.frombuffer(b" ".join(words), np.uint8)
-    gaps = np.flatnonzero(joined == 32)
-    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
-    width = min(width, len(words))
-    sums = rolling.prefix(joined)
-    return np.unique(rolling.spans(sums, starts[: len(words) - width + 1], ends[width - 1 :]))
+#: Symbols of a signature that lie in one 64-bit number, so that distances are bit operations.
+_LANES = 3
 
 
 def signature(shingles: np.ndarray) -> bytes:
@@ -51,6 +37,17 @@ def signature(shingles: np.ndarray) -> bytes:
     return (rolling.mix(least) >> np.uint64(48)).astype(">u2").tobytes()
 
 
+def lanes(sign: bytes) -> list[int]:
+    symbols = np.frombuffer(sign, ">u2").astype(np.int64).reshape(-1, _LANES)
+    return (symbols << np.arange(0, 16 * _LANES, 16)).sum(axis=1).tolist()
+
+
+def distance(x: str, y: str) -> str:
+    """The number of symbols in which two signatures (columns of lanes) differ, as SQL."""
+    low, top = sum(0x7FFF << 16 * k for k in range(_LANES)), sum(0x8000 << 16 * k for k in range(_LANES))
+    return " + ".join(f"bit_count(((({x}[{i}] ^ {y}[{i}]) & {low}) + {low} | ({x}[{i}] ^ {y}[{i}])) & {top}L)" for i in range(SYMBOLS // _LANES))
+
+
 def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,11 +55,12 @@ def _signed(width: int):
             for text in batch.column(2):
                 own = shingle_set(text.as_py(), width)
                 digest = xxhash.xxh3_128_digest(own.tobytes())
-                rows.append((len(own), digest if len(own) else None, signature(own) if len(own) else None))
-            counts, digests, signs = zip(*rows) if rows else ((), (), ())
+                sign = signature(own) if len(own) else None
+                rows.append((len(own), digest, sign, lanes(sign)) if sign else (0, None, None, None))
+            counts, digests, signs, numbers = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary())],
-                names=["_row", "doc_id", "mark", "n_shingles", "digest", "sign"],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.binary()), pa.array(numbers, pa.list_(pa.int64()))],
+                names=["_row", "doc_id", "mark", "n_shingles", "digest", "sign", "lanes"],
             )
 
     return run
@@ -80,93 +78,50 @@ def _keys(sign: str = "sign"):
     return F.array(*keys)
 
 
-def _confirm(width: int, percent: int):
-    """Rows come by (pivot, block), the pivot's own text first; gives (pivot, row) of each link. Two sets are in memory at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = np.empty(0, np.uint64)
-        for batch in batches:
-            out = []
-            for pivot, side, ident, text in zip(*batch.columns):
-                own = shingle_set(text.as_py(), width)
-                if not side.as_py():
-                    lead = own
-                    continue
-                common = len(np.intersect1d(lead, own, assume_unique=True))
-                if 100 * common >= percent * (len(lead) + len(own) - common):
-                    out.append((pivot.as_py(), ident.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
-
-    return run
-
-
 def signatures(numbered: DataFrame, ident: str, text: str, width: int) -> DataFrame:
-    """(_row, doc_id, hash of the text, n_shingles, digest of the set, sign) of each row."""
+    """(_row, doc_id, hash of the text, n_shingles, digest of the set, sign, lanes) of each row."""
     narrow = numbered.select("_row", F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
-    return narrow.mapInArrow(_signed(width), "_row long, doc_id long, mark long, n_shingles long, digest binary, sign binary")
+    return narrow.mapInArrow(_signed(width), "_row long, doc_id long, mark long, n_shingles long, digest binary, sign binary, lanes array<long>")
 
 
-def confirmed(pairs: DataFrame, numbered: DataFrame, text: str, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (pivot, rep) that are links on full sets, as (u, v).
+def link_classes(classes: DataFrame, numbered: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
+    """(node, component) of the classes (rep, n_shingles, sign, lanes) that are linked with others, see linking.linked.
 
-    A row's text moves once for each of its pairs; a pivot's once for each block of about 256 of its pairs, so no pivot fills a task.
-    """
-    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks"))
-    dealt = pairs.join(blocks, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), "_blocks").alias("block"), "rep")
-    sides = dealt.select("pivot", "block", F.lit(1).alias("side"), F.col("rep").alias("_row"))
-    leads = dealt.select("pivot", "block", F.lit(0).alias("side"), F.col("pivot").alias("_row")).distinct()
-    moved = numbered.select("_row", F.col(text).alias("text")).join(sides.union(leads), "_row")
-    n = n_partitions(numbered.sparkSession)
-    groups = moved.select("pivot", "block", "side", "_row", "text").repartition(n, "pivot", "block").sortWithinPartitions("pivot", "block", "side")
-    return written(groups.select("pivot", "side", "_row", "text").mapInArrow(_confirm(width, percent), "u long, v long"))
-
-
-def linked(classes: DataFrame, numbered: DataFrame, text: str, width: int, percent: int) -> DataFrame | None:
-    """(node, component) of the classes (rep, n_shingles, sign) that are linked with others.
-
-    A bucket holds the classes that share a signature key. A pair of a bucket is settled once it was compared, or
-    excluded by its set sizes, or lies in one component. Each round compares the rows of a bucket with a pivot,
-    joins links into components, and drops the pivot, whose pairs are all settled; a bucket whose other rows
-    are of one component is done. So a family of m near copies takes about m comparisons, and only rows that
-    are in no family with the rest of their bucket become pivots. In the first round a row meets one pivot, the
-    greatest of all its buckets; in later ones the pivots are of the component with the greatest id first, hence
-    of late joiners, and their number grows eightfold a round, so that rounds end when all pairs of the hardest bucket are compared.
+    A bucket holds the classes that share a signature key. A class weighs as much as its buckets hold, so the
+    text that a family was made from is its first pivot. Before texts are compared the distance of the
+    signatures is. For the classes that the first round leaves, the frequencies of their shingles among them
+    are counted: a set shares no more with any other than the shingles that some other of them has, which excludes most close but
+    unlinked pairs exactly, and these shingles are all that later comparisons need.
     """
-    keys = classes.select("rep", "n_shingles", F.explode(_keys()).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    seats, found, tried, step = written(keys.join(shared, "key")), None, None, 0
-    while True:
-        own = F.coalesce("component", "rep") if found is not None else F.col("rep")
-        labelled = seats.join(found.withColumnRenamed("node", "rep"), "rep", "left") if found is not None else seats
-        labelled = labelled.select("key", "rep", "n_shingles", own.alias("c"))
-        unsettled = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        now = written(labelled.join(unsettled, "key"))
-        discard(seats)
-        if not now.limit(1).count():
-            return found
-        ways = 4 * WIDEN ** (step - 1) if step else 1
-        part = F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(ways))
-        pivots = now.groupBy("key", part.alias("part")).agg(F.max(F.struct("c", "rep", "n_shingles")).alias("p")).select("key", "p.*")
-        pivots = written(pivots.select("key", F.col("c").alias("pc"), F.col("rep").alias("pivot"), F.col("n_shingles").alias("pn")))
-        fits = f"c <> pc and 100 * least(n_shingles, pn) >= {percent} * greatest(n_shingles, pn)"
-        met = now.join(pivots, "key").filter(fits).select("pivot", "rep")
-        if step == 0:
-            pairs = met.groupBy("rep").agg(F.max("pivot").alias("pivot"))
-        else:
-            pairs = met.groupBy(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).agg(F.max("pivot").alias("pivot"))
-            pairs = pairs.select("a", "b", "pivot", F.expr("if(pivot = a, b, a)").alias("rep")).join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs.select("pivot", "rep"))
-        links = confirmed(pairs, numbered, text, width, percent)
-        done = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b"))
-        tried = done if tried is None else tried.union(done)
-        if links.limit(1).count():
-            found = written(components(links if found is None else links.union(found.select("node", "component"))))
-        seats = now.select("key", "rep", "n_shingles")
-        if step:
-            seats = seats.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        seats = written(seats)
-        discard(now)
-        step += 1
+    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.explode(_keys()).alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
+    kept = written(keys.join(shared, "key"))
+    weights = kept.groupBy("rep").agg(F.sum("held").alias("weight"))
+    seats = written(kept.join(weights, "rep").select("key", "rep", "weight", "n"))
+    discard(kept)
+    signs = classes.select("rep", "lanes")
+    texts = numbered.select(F.col("_row").alias("rep"), F.lit(None).cast("long").alias("n"), F.col(text).alias("value"))
+    sizes = f"100 * least(n, p_n) >= {percent} * greatest(n, p_n)"
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        near = pairs.join(signs, "rep").join(signs.select(F.col("rep").alias("pivot"), F.col("lanes").alias("p_lanes")), "pivot")
+        close = written(near.filter(f"{distance('lanes', 'p_lanes')} <= {FARTHEST}").select("pivot", "rep"))
+        links = confirmed(close, texts, lambda value: shingle_set(value, width), percent)
+        discard(close)
+        return links
+
+    def later(now: DataFrame):
+        left = written(now.select("rep").distinct())
+        total = classes.join(left, "rep").agg(F.sum("n_shingles")).first()[0]
+        blocks = in_blocks(texts.join(left, "rep").select(F.col("rep").cast("string").cast("binary").alias("id"), F.col("value").alias("text")), total)
+        found = shared_shingles(blocks, total, width, percent).select("id", F.col("n").alias("size"), "tokens")
+        sets = written(found.join(left.withColumn("id", F.col("rep").cast("string").cast("binary")), "id").select("rep", F.col("size").alias("n"), F.col("tokens").alias("value")))
+        discard(left, blocks)
+        more = sets.select("rep", (F.octet_length("value") / 8).cast("long").alias("core"))
+        fits = f"{sizes} and {100 + percent} * least(core, p_core) >= {percent} * (n + p_n) and {distance('lanes', 'p_lanes')} <= {FARTHEST}"
+        return now.join(more, "rep").join(signs, "rep"), fits, lambda pairs: confirmed(pairs, sets, token_set, percent)
+
+    return linked(seats, sizes, confirm, later)
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -175,7 +130,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     component_id is the smallest id of the row's group, kept is doc_id = component_id. In a group without any
     id component_id is null and one row is kept. Rows are told apart by a number, not by their id: unrelated
     texts under one id are in groups of their own, and a row without id is in the group of its copies. Null
-    and empty texts have no shingles and are linked with nothing; an empty table gives no rows; other columns
+    and empty texts have no shingles and are linked with nothing; long texts are read whole; an empty table gives no rows; other columns
     are ignored.
     """
     numbered = numbered_rows(docs.select(ident, text))
@@ -194,7 +149,7 @@ def near_rows(numbered: DataFrame, ident: str = "doc_id", text: str = "text", wi
 
     Rows are linked when 100 x intersection >= percent x union of their shingle sets. Equal sets are one
     class from the start; only one row of a class goes on, so copies never pair. Classes that share a
-    signature key are compared on full sets, see linked(). head is the _row that stands for the group: the one
+    signature key are compared on full sets, see link_classes(). head is the _row that stands for the group: the one
     with the smallest id, of these the one with the least hash of the text; rows without id come last.
     component_id is its id.
     """
@@ -203,10 +158,10 @@ def near_rows(numbered: DataFrame, ident: str = "doc_id", text: str = "text", wi
     classes = written(
         signed.filter("n_shingles > 0")
         .groupBy("digest")
-        .agg(F.min(F.struct(order.alias("first"), "n_shingles", "sign")).alias("x"))
-        .select("digest", F.col("x.first.rep").alias("rep"), F.col("x.first").alias("first"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sign").alias("sign"))
+        .agg(F.min(F.struct(order.alias("first"), "n_shingles", "sign", "lanes")).alias("x"))
+        .select("digest", F.col("x.first.rep").alias("rep"), F.col("x.first").alias("first"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sign").alias("sign"), F.col("x.lanes").alias("lanes"))
     )
-    found = linked(classes.select("rep", "n_shingles", "sign"), numbered, text, width, percent)
+    found = link_classes(classes.select("rep", "n_shingles", "sign", "lanes"), numbered, text, width, percent)
     named = classes.select("digest", "rep", "first")
     if found is not None:
         joined = classes.select("rep", "first").join(found.withColumnRenamed("node", "rep"), "rep")

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from skylark.llm import graph, mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, url_filters, warc_fixity
+from skylark.llm import graph, linking, mixing, near_dedup, order_minhash, piece_lattice, quality_rules, repeats, sharding, surrogates, url_filters, warc_fixity
 from skylark.llm.queries import QUERIES, TOKENIZERS
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -552,7 +552,7 @@ def test_near_dedup_in_families_and_chains(spark, monkeypatch):
     texts += [half + " " + " ".join("r%d" % rng.randint(0, 10**6) for _ in range(12 + i % 9)) for i in range(60)]
     rng.shuffle(texts)
     table = list(enumerate(texts))
-    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(linking, "BLOCK", 16)
     got = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), percent=85).collect()
     assert Counter(tuple(r) for r in got) == Counter(plain_groups(table, 85))
 
