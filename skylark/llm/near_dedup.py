@@ -114,7 +114,7 @@ def link_classes(classes: DataFrame, numbered: DataFrame, text: str, width: int,
         left = written(now.select("rep").distinct())
         total = classes.join(left, "rep").agg(F.sum("n_shingles")).first()[0]
         blocks = in_blocks(texts.join(left, "rep").select(F.col("rep").cast("string").cast("binary").alias("id"), F.col("value").alias("text")), total)
-        found = shared_shingles(blocks, total, width, percent).select("id", F.col("n").alias("size"), "tokens")
+        found = shared_shingles(blocks, total, width, percent).filter("tokens is not null").select("id", F.col("n").alias("size"), "tokens")
         sets = written(found.join(left.withColumn("id", F.col("rep").cast("string").cast("binary")), "id").select("rep", F.col("size").alias("n"), F.col("tokens").alias("value")))
         discard(left, blocks)
         more = sets.select("rep", (F.octet_length("value") / 8).cast("long").alias("core"))

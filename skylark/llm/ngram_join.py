@@ -12,22 +12,19 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 from .linking import confirmed, linked, token_set
-from .shingles import in_blocks, shared_shingles, shingle_set
+from .shingles import in_blocks, shared_shingles, words_of
 
 
-def _digests(width: int, texts: bool):
-    """(doc_id, n_shingles, digest) of each row; or (id, text) once for each distinct set of a task."""
+def _digests(texts: bool):
+    """(doc_id, n_words, digest) of each row, or (id, text) once for each distinct digest of a task; digests are of the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, digests = [], []
-            for text in batch.column(1):
-                own = shingle_set(text.as_py(), width)
-                sizes.append(len(own))
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+            split = [words_of(text.as_py()) for text in batch.column(1)]
+            digests = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in split]
             if not texts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in split], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_words", "digest"])
                 continue
             new = []
             for i, d in enumerate(digests):
@@ -84,28 +81,28 @@ def similar_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     """(doc_id, n_shingles, component_id) for each row; component_id is the smallest id reachable by links.
 
     Rows are linked when 100 x intersection >= percent x union of their sets of word shingles, exactly: candidates
-    come from prefixes, and are verified on full sets. Equal sets are one class from the start, folded in each
-    task before they are shuffled. A group without any id has a null component_id. Rows are told apart by
+    come from prefixes, and are verified on full sets. Equal word sequences are one class from the start,
+    folded in each task before they are shuffled. A group without any id has a null component_id. Rows are told apart by
     their sets, not ids: unrelated texts under one id are in groups of their own. Null and empty texts have no
     shingles and are linked with nothing; long texts are read whole; an empty table gives no rows; other columns are ignored.
     """
     narrow = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(narrow.mapInArrow(_digests(width, False), "doc_id long, n_shingles long, digest binary"))
-    classes = written(signed.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n")))
+    signed = written(narrow.mapInArrow(_digests(False), "doc_id long, n_words long, digest binary"))
+    classes = written(signed.filter("n_words > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("n_words").alias("n")))
     total = classes.agg(F.sum("n")).first()[0]
     if total is None:
-        return signed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    blocks = in_blocks(narrow.mapInArrow(_digests(width, True), "id binary, text string"), total)
+        return signed.select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    blocks = in_blocks(narrow.mapInArrow(_digests(True), "id binary, text string"), total)
     sets = written(shared_shingles(blocks, total, width, percent).withColumn("rep", F.monotonically_increasing_id()))
     discard(blocks)
-    found = join_classes(sets.drop("id"), percent)
-    named = classes.select("digest", "least")
+    found = join_classes(sets.filter("tokens is not null").drop("id"), percent)
+    named = sets.select("rep", "n", F.col("id").alias("digest")).join(classes.select("digest", "least"), "digest")
     if found is not None:
-        joined = sets.select("rep", F.col("id").alias("digest")).join(found.withColumnRenamed("node", "rep"), "rep").join(classes, "digest").select("digest", "component", "least")
+        joined = named.join(found.withColumnRenamed("node", "rep"), "rep").select("rep", "component", "least")
         best = joined.groupBy("component").agg(F.min("least").alias("best"))
-        linked_ones = joined.join(best, "component").select("digest", "best")
-        named = named.join(linked_ones, "digest", "left").select("digest", F.coalesce("best", "least").alias("least"))
-    named = written(named)
+        named = named.join(joined.join(best, "component").select("rep", "best"), "rep", "left").withColumn("least", F.coalesce("best", "least"))
+    named = written(named.select("digest", "n", "least"))
     discard(sets, classes)
+    alone = F.col("digest").isNull()
     labelled = signed.join(named, "digest", "left")
-    return labelled.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return labelled.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

@@ -32,12 +32,17 @@ class _Words(dict):
 _words = _Words()
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """Words between ASCII white space, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
 def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the word shingles (A-Z lower-cased, words between ASCII white space).
 
     Fewer words than width make one shingle; no words, none. The hash mixes the words' hashes in order.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = words_of(text)
     if not words:
         return np.empty(0, np.uint64)
     width = min(width, len(words))
@@ -54,7 +59,7 @@ def block_of(ident: str, blocks: int):
 
 
 def in_blocks(texts: DataFrame, shingles: int) -> DataFrame:
-    """texts (id binary, text) with their `block`, in buckets of it; shingles is how many they have together."""
+    """texts (id binary, text) with their `block`, in buckets of it; shingles is how many they have together, or more."""
     n = n_partitions(texts.sparkSession)
     blocks = n * max(1, -(-shingles // (n * BLOCK_SHINGLES)))
     return bucketed(texts.select("id", "text", block_of("id", blocks)).repartition(n, "block"), "block")
@@ -134,7 +139,7 @@ def match_count(levels: np.ndarray, first: int, n: int) -> int:
 
 
 def _shared(width: int, percent: int):
-    """(id, n, first, matches, weight, tokens) of the sets that may have a partner at the similarity; tokens rarest first."""
+    """(id, n, first, matches, weight, tokens) of each set; the last four are null unless it may have a partner at the similarity."""
 
     def run(texts: pa.Table, levels: pa.Table) -> pa.Table:
         ids, sets = _sets(texts, width) if texts.num_rows else ([], [])
@@ -143,16 +148,21 @@ def _shared(width: int, percent: int):
             every = np.unique(np.concatenate(sets))
             held = levels.sort_by("bucket")["levels"]
             level = np.frombuffer(b"".join(x.as_py() for x in held), np.uint8)
+            every, level = every[level > 0], level[level > 0]
             for ident, own in zip(ids, sets):
-                mine = level[np.searchsorted(every, own)]
-                shared, at = own[mine > 0], mine[mine > 0]
-                first = prefix_length(len(own), percent) - (len(own) - len(shared))
-                if first > 0 and len(shared):
-                    order = np.lexsort((shared, at))
-                    first = min(first, len(shared))
-                    matches = match_count(at[order], first, len(own))
-                    weight = int((2.0 ** (at[order][:first].astype(np.float64) / LEVELS)).sum())
-                    out.append((ident, len(own), first, matches, weight, shared[order].astype("<u8").tobytes()))
+                place = np.searchsorted(every, own)
+                place[place == len(every)] = 0
+                mine = every[place] == own if len(every) else np.zeros(len(own), bool)
+                n_shared = int(np.count_nonzero(mine))
+                first = min(n_shared, prefix_length(len(own), percent) - (len(own) - n_shared))
+                if first <= 0:
+                    out.append((ident, len(own), None, None, None, None))
+                    continue
+                shared, at = own[mine], level[place[mine]]
+                order = np.lexsort((shared, at))
+                at = at[order]
+                weight = int((2.0 ** (at[:first].astype(np.float64) / LEVELS)).sum())
+                out.append((ident, len(own), first, match_count(at, first, len(own)), weight, shared[order].astype("<u8").tobytes()))
         types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         return pa.Table.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names=["id", "n", "first", "matches", "weight", "tokens"])
 
@@ -160,12 +170,12 @@ def _shared(width: int, percent: int):
 
 
 def shared_shingles(blocks: DataFrame, shingles: int, width: int, percent: int) -> DataFrame:
-    """(id, n, first, matches, weight, tokens) of the texts of in_blocks() that may have a partner at the similarity.
+    """(id, n, first, matches, weight, tokens) of the texts of in_blocks().
 
     n is the size of the set, tokens its shingles that another id's set has too, rarest first (frequency level, then
     hash, the same order for all). first of them are in the prefix that holds a token of every partner's
-    prefix, weight adds their frequencies, matches: see match_count. Sets whose prefix has only shingles of their own
-    have no partner and no row.
+    prefix, weight adds their frequencies, matches: see match_count. Of sets whose prefix has only shingles of their own,
+    which have no partner at the similarity, all but id and n is null.
 
     The frequencies count all shingles of all blocks. A shingle goes to its bucket once a block, not once a
     text, so a frequent one is added up before it is shuffled; what returns to a block is one byte a shingle.
