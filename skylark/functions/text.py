@@ -117,13 +117,19 @@ def collapse_blank_lines(c: Column | str) -> Column:
     return trim_all(F.regexp_replace(lines, "\n{3,}", "\n\n"))
 
 
+#: A rule's selector begins with one of these, so words before braces stay.
+_SELECTOR = r"[.#:@*][\w\-.#:,>\[\]=*~+ ]*+"
+
+
 def without_css(c: Column | str) -> Column:
-    """Without style rules (`selector { property: value; }`) and blocks of them under an at-rule that leak into scraped text.
+    """Without style rules (`.selector { property: value; }`) and blocks of them under an at-rule that leak into scraped text.
 
-    A selector has no spaces but before its brace, so that words in front of a rule stay; braces without a property stay.
+    A selector begins with . # : * or @, so that prose and JSON-like braces stay, as do braces without a property.
+    No pattern repeats a group: innermost rules go first, then the at-rules that this empties.
     """
-    rule = r"(?:[.#:]{0,2}[\w\-.#:,>\[\]=*~+]+\s*)?\{\s*(?:[\w-]+\s*:[^{};]*;?\s*)+\}"
-    return chain(col(c), (rf"@[\w-]+[^{{}}]*\{{(?:\s*{rule})*\s*\}}", ""), (rf"{rule}\.?", ""))
+    rule = rf"(?:^|(?<=[\s{{}}])){_SELECTOR}\{{(?=\s*+[\w-]++\s*+:)[^{{}}]*+\}}(?:\.(?=\s|$))?"
+    empty = rf"(?:^|(?<=[\s}}]))@[\w-]++[^{{}}]*+\{{\s*+\}}(?:\.(?=\s|$))?"
+    return chain(col(c), (rule, ""), (empty, ""))
 
 
 def without_adjacent_repeats(parts: Column | str) -> Column:

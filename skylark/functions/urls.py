@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import col
@@ -28,16 +28,47 @@ def host(url: Column | str) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$|\.$", ""))
 
 
-_SUFFIX = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
-_LABEL = r"[^.:\[\]]+"
-#: One pattern, so that the host is computed once: the last two labels, three under a two-label suffix.
-_REGISTRABLE = rf"^(?![0-9.]+$)(?:{_LABEL}\.)*?((?!(?:{_SUFFIX})$){_LABEL}\.(?:{_SUFFIX}|{_LABEL}))$"
 _PROXY = r"^(?:(?:https?:)?//)?translate\.google\.com(?::\d+)?/translate[^?#]*\?(?:[^#]*&)?u="
 
 
 def registrable_domain(host_: Column) -> Column:
-    """The last two labels, three under a two-label suffix; null for addresses and single labels."""
-    return F.nullif(F.regexp_extract(host_, _REGISTRABLE, 1), F.lit(""))
+    """The last two labels, three under a two-label suffix; null for addresses, single labels and hosts with empty labels."""
+
+    def of(h: Column) -> Column:
+        two, three = F.substring_index(h, ".", -2), F.substring_index(h, ".", -3)
+        named = (F.instr(h, ".") > 0) & ~h.rlike(r"^[0-9.]+$|[:\[\]]|\.\.|^\.|\.$")
+        suffix = two.isin(TWO_LABEL_SUFFIXES)
+        return F.when(named & ~suffix, two).when(named & (three != two), three)
+
+    return F.get(F.transform(F.array(host_), of), F.lit(0))
+
+
+def suffix_domains(df: DataFrame, host_: str, rules: DataFrame, out: str = "domain") -> DataFrame:
+    """df with the registrable domain of a host by a table of public-suffix rules of any size.
+
+    rules (rule) are names such as `uk`, `co.uk`, wildcards `*.ck` and exceptions `!www.ck`, as in the public list. Each
+    distinct host is opened to its suffixes, which are joined with the rules; an exception wins, else the
+    longest rule, else the last label counts as the suffix. The domain is the suffix and one label more, null where
+    the host has none, is null or an address. Hosts of any number of labels: a rule has at most as many as the
+    longest rule (one number that comes to the driver), so no more suffixes are made.
+    """
+    rule = F.lower(F.trim("rule"))
+    table = rules.filter(F.length(F.trim("rule")) > 0).select(
+        F.regexp_replace(rule, r"^(?:!|\*\.)", "").alias("_suffix"),
+        F.when(F.startswith(rule, F.lit("!")), 0).when(F.startswith(rule, F.lit("*.")), 2).otherwise(1).alias("_more"),
+    )
+    most = (table.agg(F.max(F.size(F.split("_suffix", r"\.")))).first()[0] or 1) + 1
+    named = df.select(F.lower(host_).alias("_host")).filter(~F.col("_host").rlike(r"^[0-9.]+$|[:\[\]]|\.\.|^\.|\.$") & (F.instr("_host", ".") > 0)).distinct()
+    labels = F.size(F.split("_host", r"\."))
+    opened = named.withColumn("_labels", labels).select("_host", "_labels", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), "_labels"))).alias("_n"))
+    opened = opened.withColumn("_suffix", F.call_function("substring_index", "_host", F.lit("."), -F.col("_n")))
+    met = opened.join(table.distinct(), "_suffix")
+    # Labels of the public suffix: an exception's own name less one, a wildcard's and one more, a plain rule's.
+    size = F.col("_n") + F.col("_more") - 1
+    best = met.filter(size <= F.col("_labels")).groupBy("_host").agg(F.max(F.struct((F.col("_more") == 0).alias("exception"), size.alias("size"))).alias("b"))
+    found = named.join(best, "_host", "left").withColumn("_size", F.coalesce("b.size", F.lit(1)) + 1)
+    domain = F.when(F.size(F.split("_host", r"\.")) >= F.col("_size"), F.call_function("substring_index", "_host", F.lit("."), -F.col("_size")))
+    return df.withColumn("_host", F.lower(host_)).join(found.select("_host", domain.alias("_domain")), "_host", "left").withColumn(out, F.col("_domain")).drop("_host", "_domain")
 
 
 def _target(url: Column) -> Column:
@@ -69,4 +100,5 @@ def normalize_url(url: Column | str, remove_params: bool = True) -> Column:
 
 def is_domain(value: Column | str) -> Column:
     """A bare host name, without scheme, path or spaces."""
-    return col(value).rlike(r"^(?!-)[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")
+    value = col(value)
+    return value.rlike(r"^(?!-)[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}$") & ~F.contains(value, F.lit(".."))

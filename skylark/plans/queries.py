@@ -70,33 +70,6 @@ _NORM = "regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || coalesce(nullif(regexp_e
 _SOURCES = f"src as (select page_id, page_id // 10 result_id, url, page_id % 3 <> 0 cited, {_DOMAIN} dom, {_NORM} norm from pages)"
 
 
-@query(f"""
-with {_SOURCES},
-b(brand, domain) as (values ('Thation', 'example.com'), ('Onre', 'example.net'), ('there', 'example.org')),
-s as (select b.brand, src.* from b join src on src.dom = b.domain),
-a as (select b.brand, count(distinct r.result_id) answer from b, (select distinct result_id from src) r join documents d on d.doc_id = r.result_id
-      where regexp_matches(d.text, '(?i)(^|[^A-Za-z0-9_])' || b.brand || '([^A-Za-z0-9_]|$)') group by b.brand)
-select b.brand, coalesce(max(a.answer), 0)::bigint answer, count(*) filter (s.cited) citations,
-  count(distinct lower(s.norm)) filter (s.cited) unique_citations, count(s.norm) refs, count(distinct lower(s.norm)) unique_refs
-from b left join s on s.brand = b.brand left join a on a.brand = b.brand group by b.brand""")
-def brand_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visibility of brands in answers and sources of search results that have pages."""
-    return visibility.aggregate_visibility(visibility.annotate_visibility(search_results(spark, sf_dir), BRANDS))
-
-
-@query(f"""
-with {_SOURCES},
-b(brand, domain) as (values ('Thation', 'example.com'), ('Onre', 'example.net'), ('there', 'example.org')),
-s as (select b.brand, src.result_id, count(*) filter (cited) n_citations, count(*) filter (not cited) n_refs from b join src on src.dom = b.domain group by all),
-r as (select distinct result_id from src)
-select r.result_id, b.brand, coalesce(s.n_citations, 0)::bigint n_citations, coalesce(s.n_refs, 0)::bigint n_refs, s.result_id is not null in_sources,
-  coalesce(regexp_matches(d.text, '(?i)(^|[^A-Za-z0-9_])' || b.brand || '([^A-Za-z0-9_]|$)'), false) in_content
-from r cross join b left join s on s.brand = b.brand and s.result_id = r.result_id left join documents d on d.doc_id = r.result_id""")
-def brand_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = visibility.annotate_visibility(search_results(spark, sf_dir), BRANDS)
-    return a.select("result_id", "brand", F.size("citations").cast("long").alias("n_citations"), F.size("refs").cast("long").alias("n_refs"), "in_sources", "in_content")
-
-
 _ANSWERED = "r as (select coalesce(d.doc_id, g.result_id) result_id, d.text from documents d full join (select distinct result_id from src) g on g.result_id = d.doc_id)"
 
 
@@ -109,7 +82,7 @@ select b.brand, coalesce(max(a.answer), 0)::bigint answer, count(*) filter (s.ci
   count(distinct lower(s.norm)) filter (s.cited) unique_citations, count(s.norm) refs, count(distinct lower(s.norm)) unique_refs
 from b left join s on s.brand = b.brand left join a on a.brand = b.brand group by b.brand""")
 def answered_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: brand_visibility with every document as an answer."""
+    """The flagship: visibility of brands in the sources of search results and in their answers, which are all documents."""
     return visibility.aggregate_visibility(visibility.annotate_visibility(answered_results(spark, sf_dir), BRANDS))
 
 
@@ -121,7 +94,7 @@ select r.result_id, b.brand, coalesce(s.n_citations, 0)::bigint n_citations, coa
   coalesce(regexp_matches(r.text, '(?i)(^|[^A-Za-z0-9_])' || b.brand || '([^A-Za-z0-9_]|$)'), false) in_content
 from r cross join b left join s on s.brand = b.brand and s.result_id = r.result_id""")
 def answered_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """brand_annotation with every document as an answer."""
+    """Each brand's citations and mentions in each search result; every document is an answer."""
     a = visibility.annotate_visibility(answered_results(spark, sf_dir), BRANDS)
     return a.select("result_id", "brand", F.size("citations").cast("long").alias("n_citations"), F.size("refs").cast("long").alias("n_refs"), "in_sources", "in_content")
 
@@ -188,24 +161,27 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS = "list_distinct(list_filter(string_split(trim(regexp_replace(lower(%s), '[^a-z0-9_áéíóúñü]+', ' ', 'g')), ' '), lambda w: length(w) > 2))"
 
 
-@query(f"""
-with p as (select d.doc_id, {_WORDS % 'd.text'} a, {_WORDS % 'b.text'} b from documents d join benchmark b on b.item_id = d.doc_id % 40)
-select doc_id, case when len(a) = 0 or len(b) = 0 then 0.0::double else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end as overlap from p""")
-def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id"), F.col("text").alias("item"))
-    docs = table(spark, sf_dir, "documents").join(items, F.col("doc_id") % 40 == F.col("item_id"))
-    return docs.select("doc_id", text.word_overlap("text", "item").alias("overlap"))
-
-
 @query(f"""
 with d as (select row_number() over () r, doc_id, {_WORDS % 'text'} ws from documents), b as (select row_number() over () s, item_id, {_WORDS % 'text'} ws from benchmark),
 dw as (select r, doc_id, len(ws) n, unnest(ws) w from d), bw as (select s, item_id, len(ws) m, unnest(ws) w from b)
 select doc_id, item_id, count(*)::double / (n + m - count(*)) as overlap from dw join bw using (w) group by r, s, doc_id, item_id, n, m""")
 def benchmark_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document against every item that it shares a word with; overlap_scores takes one item a document."""
+    """Every document against every item that it shares a word with."""
     return overlaps.word_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query(f"""
+with d as (select row_number() over () r, doc_id, {_WORDS % 'text'} ws from documents), b as (select row_number() over () s, {_WORDS % 'text'} ws from benchmark),
+dw as (select r, len(ws) n, unnest(ws) w from d), bw as (select s, len(ws) m, unnest(ws) w from b),
+o as (select r, count(*)::double / (n + m - count(*)) as x from dw join bw using (w) group by r, s, n, m)
+select d.doc_id, coalesce(max(o.x), 0.0::double) as overlap from d left join o using (r) group by d.r, d.doc_id""")
+def overlap_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's greatest word overlap with any item; 0 where no word is shared."""
+    docs = table(spark, sf_dir, "documents").withColumn("_row", F.monotonically_increasing_id())
+    best = overlaps.word_overlaps(docs.select(F.col("_row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).groupBy("doc_id").agg(F.max("overlap").alias("overlap"))
+    return docs.select("doc_id", "_row").join(best.withColumnRenamed("doc_id", "_row"), "_row", "left").select("doc_id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+
+
 @query("""
 select doc_id, list_aggregate(list_transform(list_sort(list_distinct([doc_id % 5 + 1, doc_id % 3 + 1])), lambda x: x::varchar), 'string_agg', ',') as numbers from documents""")
 def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -407,3 +383,8 @@ def page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("domain", urls.extract_domain("url"))
     stats = P.page_stats(P.page_content(pages, resolve_relative=True), ["page_id", "domain"])
     return P.aggregate_pages(stats, ["domain"])
+
+
+# The names of the first round for the same results over whole tables.
+for _name, _whole in (("brand_visibility", "answered_visibility"), ("brand_annotation", "answered_annotation")):
+    QUERIES[_name], ORACLE[_name] = QUERIES[_whole], ORACLE[_whole]

@@ -147,3 +147,18 @@ def test_style_rules_and_images_go(spark):
     assert [r.got for r in df.select(payloads.clean_text(F.col("t")).alias("got")).collect()] == [w for _, w in texts]
     answer = spark.createDataFrame([("Hi ![pic](http://x/y.png) there\n Image \n\n\n\nend",)], "t string").select(payloads.clean_answer(F.col("t"))).first()[0]
     assert answer == "Hi  there\n\nend"
+
+
+def test_brands_of_a_table(spark):
+    texts = [t for t in SPELLINGS] + ["thea ndre", "the and re", "a 7-Mares day", "CITROËN", "inside hpx", "an HP. HP", "loveHP", "the Doras", "Brix/Alto", None, "", "the" + " " * 3000 + "re", "x " * 20000 + "Alto", "品牌很好", "Fenn, Oak", "fennand oak"]
+    names = ["Fenn&Oak", "the re", "7mares", "Citroen", "HP", "Dora's", "Alto", "Brix", "品牌", "A B C D E F G"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    one = {r.i: r.brands for r in brands.rank_brands(df, "t", [{"shortName": n} for n in names]).collect()}
+    many = spark.createDataFrame([(n, None) for n in names] + [(f"Zq{i}x", [f"Other {i} Name"]) for i in range(2000)] + [(" ", None), ("Nord", [" ", "nørd & süd"])], "shortName string, aliases array<string>")
+    joined = {r.i: r.brands for r in brands.rank_brands(df, "t", many).collect()}
+    assert {i: sorted(b) for i, b in one.items()} == {i: sorted(b) for i, b in joined.items()}
+    by_text = {texts[i]: b for i, b in one.items()}
+    assert all(by_text[s] == ["Fenn&Oak"] for s in SPELLINGS) and by_text["thea ndre"] == [] and by_text["the and re"] == ["the re"]
+    assert by_text["Brix/Alto"] == ["Brix", "Alto"] and by_text["Fenn, Oak"] == [] and by_text["fennand oak"] == []
+    assert [by_text[t] for t in ("inside hpx", "an HP. HP", "loveHP", "the Doras", "品牌很好")] == [[], ["HP"], ["HP"], ["Dora's"], ["品牌"]]
+    assert by_text["the" + " " * 3000 + "re"] == ["the re"] and by_text["x " * 20000 + "Alto"] == ["Alto"]

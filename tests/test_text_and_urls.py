@@ -107,3 +107,37 @@ def test_benchmark_overlaps_read_every_item(spark, tmp_path):
     got = queries.benchmark_overlaps(spark, str(tmp_path)).collect()
     want = [(1, 41, 0.5), (1, 41, 0.5), (1, None, 1 / 3), (1, None, 1 / 3), (None, 41, 0.25), (None, 199, 1 / 3)]
     assert Counter(tuple(r) for r in got) == Counter(want)
+
+
+def test_patterns_on_very_long_texts(spark):
+    long = [("a." * 100_000 + "com",), ("x@" + "a." * 100_000,), (".a{" + "b:c;" * 100_000 + "}",), ("the" + " " * 100_000 + "re",), ("@media x {" + ".a{b:c}" * 50_000 + "}",), ("{" * 100_000,)]
+    df = spark.createDataFrame(long, "t string")
+    got = df.select(urls.is_domain("t").alias("d"), urls.extract_domain("t").alias("e"), F.length(text.without_css("t")).alias("n")).collect()
+    assert [r.d for r in got] == [True, False, False, False, False, False] and got[0].e == "a.com"
+    assert got[2].n == 0 and got[4].n == 0 and got[3].n == 100_005
+
+
+def test_css_goes_and_prose_stays(spark):
+    cases = {
+        "use {name: value} here": "use {name: value} here",
+        "a .x{color:red} b": "a  b",
+        ":root{--a:1;--b:2}text": "text",
+        "@supports (x:y){.a{b:c}.d{e:f}}after": "after",
+        'see {"k": 1} and .net 5': 'see {"k": 1} and .net 5',
+        ".a{} stays": ".a{} stays",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.o for r in df.select("t", text.without_css("t").alias("o")).collect()} == cases
+
+
+def test_public_suffix_rules(spark):
+    rules = spark.createDataFrame([(r,) for r in ["com", "uk", "co.uk", "*.ck", "!www.ck", "jp", "*.kawasaki.jp", "!city.kawasaki.jp", ""]], "rule string")
+    want = {
+        "a.b.example.com": "example.com", "example.co.uk": "example.co.uk", "x.example.co.uk": "example.co.uk", "co.uk": None, "www.ck": "www.ck", "a.www.ck": "www.ck",
+        "foo.bar.ck": "foo.bar.ck", "b.foo.bar.ck": "foo.bar.ck", "bar.ck": None, "x.city.kawasaki.jp": "city.kawasaki.jp", "a.b.c.kawasaki.jp": "b.c.kawasaki.jp",
+        "new.tld": "new.tld", "q.new.tld": "new.tld", "single": None, "10.0.0.1": None, "": None, "A.Example.COM": "example.com", "a." * 3000 + "com": "a.com",
+    }
+    df = spark.createDataFrame([*[(h, 1) for h in want], (None, 1), ("q.new.tld", 1)], "h string, domain int")
+    got = urls.suffix_domains(df, "h", rules).collect()
+    assert len(got) == len(want) + 2 and {r.h: r.domain for r in got} == want | {None: None}
+    assert urls.suffix_domains(df.limit(0), "h", rules).count() == 0
