@@ -15,7 +15,7 @@ _TITLES_N = "Dr|Prof"
 _TITLE = rf"(?:{_TITLES_F}|{_TITLES_M}|{_TITLES_N})\.? "
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 DETECTED = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}",  # a host has at most 127 labels
     "secret": rf"(?<=[=:\"' \t])(?=[A-Za-z0-9+/_-]{{8}})(?<=(?i:{_SECRET_WORDS})[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?)[A-Za-z0-9+/_-]{{8,}}",
     "aws": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
