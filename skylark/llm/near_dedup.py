@@ -15,9 +15,9 @@ from .common import bucketed, discard, n_partitions, written
 from .linking import confirmed, linked, token_set
 from .shingles import in_blocks, shared_shingles, shingle_set
 
-#: 8 chunks of 6 symbols of 16 bits; a chunk may hold 1 wrong symbol. By pigeonhole every pair of signatures
+#: 8 chunks of 6 symbols of 10 bits; a chunk may hold 1 wrong symbol. By pigeonhole every pair of signatures
 #: that differ in at most 8 * (1 + 1) - 1 = 15 of 48 symbols shares a key.
-CHUNKS, PER_CHUNK, SYMBOL_BYTES = 8, 6, 2
+CHUNKS, PER_CHUNK, SYMBOL_BYTES, SYMBOL_BITS = 8, 6, 2, 10
 SYMBOLS = CHUNKS * PER_CHUNK
 #: Pairs that share a key are compared on full sets up to this distance. A pair at similarity 0.80 lies beyond it
 #: once in a million times, at 0.85 in a thousand million; at 0.4, four of five pairs do.
@@ -25,27 +25,42 @@ FARTHEST = 24
 _rng = np.random.default_rng(85)
 _MULT = (_rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _ADD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)[:, None]
-#: Symbols of a signature that lie in one 64-bit number, so that distances are bit operations.
-_LANES = 3
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """48 symbols: 16 bits of a hash of each of 48 minima."""
+    """48 symbols: 10 bits of a hash of each of 48 minima, in two bytes each."""
     least = np.full(SYMBOLS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), 1 << 14):
         np.minimum(least, (shingles[None, at : at + (1 << 14)] * _MULT + _ADD).min(axis=1), out=least)
-    return (rolling.mix(least) >> np.uint64(48)).astype(">u2").tobytes()
+    return (rolling.mix(least) >> np.uint64(64 - SYMBOL_BITS)).astype(">u2").tobytes()
 
 
 def lanes(sign: bytes) -> list[int]:
-    symbols = np.frombuffer(sign, ">u2").astype(np.int64).reshape(-1, _LANES)
-    return (symbols << np.arange(0, 16 * _LANES, 16)).sum(axis=1).tolist()
+    """A signature as one 64-bit number a chunk, so that distances are bit operations."""
+    symbols = np.frombuffer(sign, ">u2").astype(np.int64).reshape(CHUNKS, PER_CHUNK)
+    return (symbols << np.arange(0, SYMBOL_BITS * PER_CHUNK, SYMBOL_BITS)).sum(axis=1).tolist()
 
 
-def distance(x: str, y: str) -> str:
-    """The number of symbols in which two signatures (columns of lanes) differ, as SQL."""
-    low, top = sum(0x7FFF << 16 * k for k in range(_LANES)), sum(0x8000 << 16 * k for k in range(_LANES))
-    return " + ".join(f"bit_count(((({x}[{i}] ^ {y}[{i}]) & {low}) + {low} | ({x}[{i}] ^ {y}[{i}])) & {top}L)" for i in range(SYMBOLS // _LANES))
+def _wrong(chunk: int | str, x: str = "lanes", y: str = "p_lanes") -> str:
+    """The number of symbols in which a chunk of two signatures (columns of lanes) differs, as SQL."""
+    low = sum((1 << SYMBOL_BITS - 1) - 1 << SYMBOL_BITS * k for k in range(PER_CHUNK))
+    top = sum(1 << SYMBOL_BITS * k + SYMBOL_BITS - 1 for k in range(PER_CHUNK))
+    unlike = f"({x}[{chunk}] ^ {y}[{chunk}])"
+    return f"bit_count((({unlike} & {low}L) + {low}L | {unlike}) & {top}L)"
+
+
+def distance(x: str = "lanes", y: str = "p_lanes") -> str:
+    """The number of symbols in which two signatures differ, as SQL."""
+    return " + ".join(_wrong(c, x, y) for c in range(CHUNKS))
+
+
+def first_shared() -> str:
+    """Whether two signatures that share the key of number `place` share none of a lower number, as SQL.
+
+    A chunk without a wrong symbol shares all its keys, one with one wrong symbol only the key without it.
+    """
+    before = " and ".join(f"(place < {(c + 1) * PER_CHUNK} or {_wrong(c)} > 1)" for c in range(CHUNKS - 1))
+    return f"(place % {PER_CHUNK} = 0 or {_wrong(f'place div {PER_CHUNK}')} = 1) and {before}"
 
 
 def _signed(width: int):
@@ -89,15 +104,15 @@ def link_classes(classes: DataFrame, numbered: DataFrame, text: str, width: int,
 
     A bucket holds the classes that share a signature key. A class weighs as much as its buckets hold, so the
     text that a family was made from is its first pivot. Before texts are compared the distance of the
-    signatures is. For the classes that the first round leaves, the frequencies of their shingles among them
+    signatures is. After the first round a pair meets only at the first key that it shares. For the classes that the first round leaves, the frequencies of their shingles among them
     are counted: a set shares no more with any other than the shingles that some other of them has, which excludes most close but
     unlinked pairs exactly, and these shingles are all that later comparisons need.
     """
-    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.explode(_keys()).alias("key"))
+    keys = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode(_keys()).alias("place", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
     kept = written(keys.join(shared, "key"))
     weights = kept.groupBy("rep").agg(F.sum("held").alias("weight"))
-    seats = written(kept.join(weights, "rep").select("key", "rep", "weight", "n"))
+    seats = written(kept.join(weights, "rep").select("key", "rep", "weight", "n", "place"))
     discard(kept)
     signs = classes.select("rep", "lanes")
     texts = numbered.select(F.col("_row").alias("rep"), F.lit(None).cast("long").alias("n"), F.col(text).alias("value"))
@@ -105,7 +120,7 @@ def link_classes(classes: DataFrame, numbered: DataFrame, text: str, width: int,
 
     def confirm(pairs: DataFrame) -> DataFrame:
         near = pairs.join(signs, "rep").join(signs.select(F.col("rep").alias("pivot"), F.col("lanes").alias("p_lanes")), "pivot")
-        close = written(near.filter(f"{distance('lanes', 'p_lanes')} <= {FARTHEST}").select("pivot", "rep"))
+        close = written(near.filter(f"{distance()} <= {FARTHEST}").select("pivot", "rep"))
         links = confirmed(close, texts, lambda value: shingle_set(value, width), percent)
         discard(close)
         return links
@@ -118,7 +133,7 @@ def link_classes(classes: DataFrame, numbered: DataFrame, text: str, width: int,
         sets = written(found.join(left.withColumn("id", F.col("rep").cast("string").cast("binary")), "id").select("rep", F.col("size").alias("n"), F.col("tokens").alias("value")))
         discard(left, blocks)
         more = sets.select("rep", (F.octet_length("value") / 8).cast("long").alias("core"))
-        fits = f"{sizes} and {100 + percent} * least(core, p_core) >= {percent} * (n + p_n) and {distance('lanes', 'p_lanes')} <= {FARTHEST}"
+        fits = f"{sizes} and {100 + percent} * least(core, p_core) >= {percent} * (n + p_n) and {distance()} <= {FARTHEST} and {first_shared()}"
         return now.join(more, "rep").join(signs, "rep"), fits, lambda pairs: confirmed(pairs, sets, token_set, percent)
 
     return linked(seats, sizes, confirm, later)

@@ -579,6 +579,28 @@ def test_signatures_guarantee_distance_15():
     assert len(near_dedup.signature(near_dedup.shingle_set("a b c d e f g"))) == 2 * near_dedup.SYMBOLS
 
 
+def test_a_pair_meets_at_its_first_shared_key(spark):
+    """Distances and shared keys of signatures as SQL against symbols compared one by one."""
+    rng = np.random.default_rng(2)
+    table = []
+    for i in range(300):
+        one = rng.integers(0, 2**near_dedup.SYMBOL_BITS, near_dedup.SYMBOLS)
+        two = np.where(rng.random(near_dedup.SYMBOLS) < rng.random() / 2, rng.integers(0, 2**near_dedup.SYMBOL_BITS, near_dedup.SYMBOLS), one)
+        table += [(2 * i, one.astype(">u2").tobytes()), (2 * i + 1, two.astype(">u2").tobytes())]
+    rows = [(i, sign, near_dedup.lanes(sign)) for i, sign in table]
+    seats = spark.createDataFrame(rows, "id long, sign binary, lanes array<long>").select("id", "lanes", F.posexplode(near_dedup._keys()).alias("place", "key"))
+    others = seats.selectExpr("id - 1 as id", "key", "lanes as p_lanes")
+    met = seats.filter("id % 2 = 0").join(others, ["id", "key"]).selectExpr("id", "place", f"{near_dedup.distance()} as d", f"{near_dedup.first_shared()} as first")
+    got = defaultdict(list)
+    for r in met.collect():
+        got[r.id].append((r.place, r.d, r.first))
+    for (i, one), (_, two) in zip(table[::2], table[1::2]):
+        unlike = np.frombuffer(one, ">u2") != np.frombuffer(two, ">u2")
+        chunks = unlike.reshape(near_dedup.CHUNKS, near_dedup.PER_CHUNK)
+        places = [c * near_dedup.PER_CHUNK + o for c, chunk in enumerate(chunks) for o in range(len(chunk)) if not np.delete(chunk, o).any()]
+        assert sorted(got[i]) == [(p, unlike.sum(), p == places[0]) for p in places]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 99), (99, 98), (7, 7), (200, 100)]
     got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect())
