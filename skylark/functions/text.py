@@ -102,7 +102,8 @@ def clean_column_name(c: Column | str) -> Column:
 def questions(c: Column | str) -> Column:
     """Distinct question sentences, URLs taken out first."""
     bare = F.regexp_replace(col(c), r"https?://\S+", "")
-    found = F.regexp_extract_all(bare, F.lit(r"[^.!?\n]*\?"), F.lit(0))
+    sentences = F.regexp_extract_all(bare, F.lit(r"[^.!?\n]++[.!?\n]?"), F.lit(0))
+    found = F.filter(sentences, lambda s: s.endswith("?"))
     return F.filter(F.array_distinct(F.transform(found, trim_all)), lambda q: F.length(q) > 1)
 
 

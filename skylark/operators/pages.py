@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,21 +28,20 @@ def _of(el: Column, *tags: str) -> Column:
     return F.filter(el, lambda e: e["tag"].isin(*tags) & e["kept"])
 
 
-def _inside(el: Column, e: Column, *tags: str) -> Column:
-    return F.filter(el, lambda x: x["tag"].isin(*tags) & x["kept"] & (x["ord"] > e["ord"]) & (x["ord"] <= e["end"]))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once a row, not once for each element of a function inside."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def heading_forest(el: Column) -> Column:
-    """array<struct<ord, tag, level, text, parent, depth>>: parent is the ord of the nearest heading before with a lower level."""
-    heads = F.transform(_of(el, *HEADINGS), lambda e, i: F.struct(i.alias("ord"), e["tag"].alias("tag"), F.substring(e["tag"], 2, 1).cast("int").alias("level"), e["text"].alias("text")))
-    none = F.array().cast("array<struct<ord:int,tag:string,level:int,text:string,parent:int,depth:int>>")
+def _span(parts: Column, e: Column) -> Column:
+    return F.slice(parts, e["begin"] + 1, e["until"] - e["begin"])
 
-    def add(done: Column, h: Column) -> Column:
-        up = F.try_element_at(F.filter(done, lambda d: d["level"] < h["level"]), F.lit(-1))
-        node = F.struct(h["ord"].alias("ord"), h["tag"].alias("tag"), h["level"].alias("level"), h["text"].alias("text"), up["ord"].alias("parent"), (F.coalesce(up["depth"], F.lit(0)) + 1).alias("depth"))
-        return F.concat(done, F.array(node))
 
-    return F.aggregate(heads, none, add)
+def heading_forest(el: Column) -> Column:
+    """array<struct<ord, tag, level, text, parent, depth>>: parent is the ord of the nearest heading before with a lower level."""
+    return F.transform(_of(el, *HEADINGS), lambda e, i: F.struct(
+        i.alias("ord"), e["tag"].alias("tag"), F.substring(e["tag"], 2, 1).cast("int").alias("level"), e["text"].alias("text"), e["parent"].alias("parent"), e["depth"].alias("depth")
+    ))
 
 
 def heading_stats(forest: Column | str) -> Column:
@@ -71,35 +70,28 @@ def paragraphs(el: Column, most: int = 500, least: int = 20) -> Column:
 
 def lists(el: Column) -> Column:
     """Lists with all items inside them (nested ones count in each), the heading and the text before."""
-    own = lambda e: F.transform(_inside(el, e, "li"), lambda i: i["text"])
     near = lambda e: F.when(e["near"] != F.coalesce(e["heading"], F.lit("")), F.nullif(e["near"], F.lit("")))
-    return F.transform(_of(el, "ul", "ol"), lambda e: F.struct((e["tag"] == "ol").alias("ordered"), own(e).alias("items"), F.nullif(e["heading"], F.lit("")).alias("contextHeading"), near(e).alias("closestText")))
+    one = lambda e, items: F.struct((e["tag"] == "ol").alias("ordered"), _span(items, e).alias("items"), F.nullif(e["heading"], F.lit("")).alias("contextHeading"), near(e).alias("closestText"))
+    return _let(F.transform(_of(el, "li"), lambda i: i["text"]), lambda items: F.transform(_of(el, "ul", "ol"), lambda e: one(e, items)))
 
 
 def tables(el: Column) -> Column:
-    cells = lambda r: F.transform(_inside(el, r, "th", "td"), lambda c: c["text"])
-    rows = lambda t: F.filter(F.transform(_inside(el, t, "tr"), cells), lambda r: F.size(r) > 0)
-    return F.transform(_of(el, "table"), lambda t: F.struct(rows(t).alias("rows"), t["heading"].alias("contextHeading")))
+    cells = F.transform(_of(el, "th", "td"), lambda c: c["text"])
+    rows = _let(cells, lambda texts: F.transform(_of(el, "tr"), lambda r: _span(texts, r)))
+    return _let(rows, lambda all_: F.transform(_of(el, "table"), lambda t: F.struct(F.filter(_span(all_, t), lambda r: F.size(r) > 0).alias("rows"), t["heading"].alias("contextHeading"))))
 
 
 def forms(el: Column) -> Column:
     """Form elements, boxes whose class or id says form, and the nearest of 5 ancestors that hold two fields or more."""
     fields = F.filter(_of(el, *FIELDS), lambda f: (f["tag"] != "button") | (f["attrs"]["type"] == "submit"))
-    holds = lambda u: F.size(F.filter(fields, lambda f: F.array_contains(f["ups"], u)))
-    box = lambda f: F.coalesce(f["box"], F.get(F.filter(f["ups"], lambda u: holds(u) >= 2), F.lit(0)))
     attr = lambda e, name: F.nullif(e["attrs"][name], F.lit(""))
-    pointed = lambda f: F.get(F.filter(_of(el, "label"), lambda x: x["attrs"]["for"] == f["attrs"]["id"]), F.lit(0))["text"]
-    label = lambda f: F.coalesce(pointed(f), f["label"], attr(f, "placeholder"), attr(f, "aria-label"))
+    label = lambda f: F.coalesce(f["label"], attr(f, "placeholder"), attr(f, "aria-label"))
     kind = lambda f: F.when(f["tag"] == "input", F.coalesce(attr(f, "type"), F.lit("text"))).otherwise(f["tag"])
-    ids = F.filter(F.array_distinct(F.transform(fields, box)), lambda b: b.isNotNull())
-    mine = lambda b: F.filter(fields, lambda f: box(f) == b)
-    holder = lambda b: F.get(F.filter(el, lambda e: e["ord"] == b), F.lit(0))
     shown = lambda f: F.struct(kind(f).alias("type"), attr(f, "id").alias("id"), attr(f, "name").alias("name"), label(f).alias("label"))
-    first = lambda b: F.get(mine(b), F.lit(0))
-    return F.transform(ids, lambda b: F.struct(
-        holder(b)["attrs"]["id"].alias("id"), holder(b)["attrs"]["class"].alias("class"), F.transform(mine(b), shown).alias("fields"),
-        F.nullif(F.regexp_replace(first(b)["heading"], r"\s+", " "), F.lit("")).alias("contextHeading"), F.nullif(first(b)["near"], F.lit("")).alias("closestText"),
-    ))
+    return _let(F.transform(fields, shown), lambda every: F.transform(F.filter(el, lambda e: e["tag"] == "fields"), lambda b: F.struct(
+        b["attrs"]["id"].alias("id"), b["attrs"]["class"].alias("class"), F.transform(b["fields"], lambda i: F.get(every, i)).alias("fields"),
+        F.nullif(F.regexp_replace(b["heading"], r"\s+", " "), F.lit("")).alias("contextHeading"), F.nullif(b["near"], F.lit("")).alias("closestText"),
+    )))
 
 
 def links(el: Column, url: Column, unique: bool = False, resolve_relative: bool = False) -> Column:

@@ -1,23 +1,18 @@
-"""JSON payloads of search and chat services as search results; all parsing is from_json and array functions."""
+"""JSON payloads of search and chat services as search results; parsing is from_json and array functions, but for lists that nest to any depth."""
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse_blank_lines, without_adjacent_repeats, without_css
 from ..functions.urls import extract_domain
 
-#: Lists nest; so many levels are read.
-DEPTH = 4
-
-
-def _item(depth: int) -> str:
-    inner = f",list:array<{_item(depth - 1)}>" if depth else ""
-    return f"struct<title:string,snippet:string{inner}>"
-
-
-_BLOCK = f"struct<type:string,snippet:string,referenceIndexes:array<int>,list:array<{_item(DEPTH)}>,rows:array<array<string>>,language:string>"
+#: A block's list stays JSON here: its items nest to any depth, see nested_items().
+_BLOCK = "struct<type:string,snippet:string,referenceIndexes:array<int>,list:string,rows:array<array<string>>,language:string>"
 _REF = "struct<index:int,title:string,link:string,url:string,snippet:string,source:string>"
 OVERVIEW = f"textBlocks array<{_BLOCK}>, references array<{_REF}>, aiOverview struct<textBlocks:array<{_BLOCK}>,references:array<{_REF}>>"
 LONGEST = 16_000
@@ -35,22 +30,44 @@ def clean_answer(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(said, "\n"), "\n\n\n+", "\n\n"))
 
 
-def _lines(items: Column, depth: int, level: int, markdown: bool) -> Column:
-    """The lines of a nested list, in order."""
+_ITEM = pa.struct([("level", pa.int32()), ("title", pa.string()), ("snippet", pa.string())])
+
 
-    def line(i: Column) -> Column:
-        text = clean_text(F.trim(F.concat_ws(" ", F.nullif(i["title"], F.lit("")), F.nullif(i["snippet"], F.lit("")))))
-        own = F.filter(F.array(text), lambda t: t != "")
-        if markdown:
-            own = F.transform(own, lambda t: F.concat(F.lit("  " * level + "- "), t))
-        if not depth:
-            return own
-        return F.concat(own, F.coalesce(_lines(i["list"], depth - 1, level + 1, markdown), F.array().cast("array<string>")))
+def _items(listed: str | None) -> list[dict]:
+    """The items of a nested list in reading order, each with its level; what is no item is left out."""
+    said = lambda x: x if x is None or isinstance(x, str) else json.dumps(x)
+    try:
+        out, ahead = [], [(0, json.loads(listed or "[]"))]
+    except ValueError:  # the list is given as text
+        return []
+    while ahead:
+        level, x = ahead.pop()
+        if isinstance(x, list):
+            ahead += [(level, item) for item in reversed(x)]
+        elif isinstance(x, dict):
+            out.append({"level": level, "title": said(x.get("title")), "snippet": said(x.get("snippet"))})
+            ahead.append((level + 1, x.get("list")))
+    return out
 
-    return F.flatten(F.transform(items, line))
 
+def nested_items(blocks: Column) -> Column:
+    """The items (level, title, snippet) of each of a row's lists, given as JSON; null has none."""
 
-def _rendered(b: Column, markdown: bool) -> Column:
+    @F.arrow_udf("array<array<struct<level:int,title:string,snippet:string>>>")
+    def flat(rows: pa.Array) -> pa.Array:
+        return pa.array([[_items(x) for x in row.as_py() or []] for row in rows], pa.list_(pa.list_(_ITEM)))
+
+    return flat(blocks)
+
+
+def _lines(items: Column, markdown: bool) -> Column:
+    """The lines of a nested list, in order; items without text are left out."""
+    text = lambda i: clean_text(F.trim(F.concat_ws(" ", F.nullif(i["title"], F.lit("")), F.nullif(i["snippet"], F.lit("")))))
+    said = F.filter(F.transform(items, lambda i: F.struct(i["level"].alias("level"), text(i).alias("text"))), lambda i: i["text"] != "")
+    return F.transform(said, lambda i: F.concat(F.repeat(F.lit("  "), i["level"]), F.lit("- "), i["text"]) if markdown else i["text"])
+
+
+def _rendered(b: Column, items: Column, markdown: bool) -> Column:
     kind = F.coalesce(b["type"], F.when(b["snippet"] != "", "paragraph"))
     plain = clean_text(F.coalesce(b["snippet"], F.lit("")))
     rows = F.transform(b["rows"], lambda r: F.array_join(r, " | ", ""))
@@ -63,7 +80,7 @@ def _rendered(b: Column, markdown: bool) -> Column:
     else:
         table, code = F.array_join(rows, "\n"), plain
     shown = (
-        F.when(kind == "list", F.array_join(_lines(b["list"], DEPTH, 0, markdown), "\n"))
+        F.when(kind == "list", F.array_join(_lines(items, markdown), "\n"))
         .when(kind == "table", F.when(F.size(b["rows"]) > 0, table))
         .when(kind == "code", code)
         .when(kind.isNotNull() & (kind != "carousel"), plain)
@@ -75,7 +92,8 @@ def parse_overview(df: DataFrame, payload: str = "payload", nested: bool = True)
     """df with answer, answerMarkdown (16,000 characters at most) and sources of an AI overview or AI mode payload.
 
     References become sources, one of each URL; a block's reference indexes become [n] marks, n being the
-    source's place, and its positions. nested also reads an overview inside the payload.
+    source's place, and its positions. Lists keep their items at every depth (JSON may nest 1,000 deep; a payload beyond
+    that, like any broken one, gives an empty answer). nested also reads an overview inside the payload.
     """
     p = F.from_json(payload, OVERVIEW)
     base = df.withColumn("_p", p)
@@ -88,13 +106,15 @@ def parse_overview(df: DataFrame, payload: str = "payload", nested: bool = True)
     base = base.withColumn("_r", known).withColumn("_urls", F.array_distinct(F.transform("_r", link)))
     seat = lambda i: F.array_position("_urls", link(F.get(F.filter("_r", lambda r: r["index"] == i), F.lit(0)))).cast("int")
 
-    def piece(b: Column, markdown: bool) -> Column:
+    base = base.withColumn("_i", nested_items(F.transform("_b", lambda b: F.when(b["type"] == "list", b["list"]))))
+
+    def piece(b: Column, i: Column, markdown: bool) -> Column:
         marks = F.array_distinct(F.filter(F.transform(F.coalesce(b["referenceIndexes"], F.array().cast("array<int>")), seat), lambda n: n > 0))
-        shown = _rendered(b, markdown)
+        shown = _rendered(b, F.get(F.col("_i"), i), markdown)
         cited = F.when(F.size(marks) > 0, F.concat(F.lit(" "), F.array_join(F.transform(marks, lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), ""))).otherwise("")
         return F.struct(shown.alias("text"), cited.alias("cited"), marks.alias("marks"))
 
-    base = base.withColumn("_plain", F.transform("_b", lambda b: piece(b, False))).withColumn("_md", F.transform("_b", lambda b: piece(b, True)))
+    base = base.withColumn("_plain", F.transform("_b", lambda b, i: piece(b, i, False))).withColumn("_md", F.transform("_b", lambda b, i: piece(b, i, True)))
     either = lambda i: (F.get(F.col("_plain"), i)["text"] != "") | (F.get(F.col("_md"), i)["text"] != "")
     joined = lambda c: F.substring(clean_text(F.array_join(without_adjacent_repeats(F.transform(F.filter(c, lambda x, i: either(i)), lambda x: F.concat(x["text"], x["cited"]))), "\n\n")), 1, LONGEST)
     base = base.withColumn("_cited", F.flatten(F.transform(F.filter("_plain", lambda x, i: either(i)), lambda x: x["marks"])))
@@ -109,7 +129,7 @@ def parse_overview(df: DataFrame, payload: str = "payload", nested: bool = True)
         )
 
     out = base.select("*", joined("_plain").alias("answer"), joined("_md").alias("answerMarkdown"), F.transform("_urls", source).alias("sources"))
-    return out.drop("_p", "_b", "_r", "_urls", "_plain", "_md", "_cited")
+    return out.drop("_p", "_b", "_i", "_r", "_urls", "_plain", "_md", "_cited")
 
 
 def _merge_key(u: Column) -> Column:

@@ -33,7 +33,7 @@ OPERATORS: dict[str, str] = {
     "name_distance": "T14",
     "sampled_records": "O3",
     "page_structure": "H1 H2",
-    "page_statistics": "A11 A12 A13",
+    "page_statistics": "A15",
     "console_records": "F10",
     "keyword_metrics": "F11 W1 W3 W6",
     "cited_answers": "J4 R2",
@@ -44,4 +44,7 @@ OPERATORS: dict[str, str] = {
     "event_windows": "2.11",
     "turn_intents": "L1 L2 L6",
     "supported_statements": "J5",
+    "page_parts": "H1 H3 H4 H5 H6 H7 H8 W2",
+    "page_means": "A11 A12 A13 A14 H12",
+    "nested_overviews": "N2 J9 T25",
 }

@@ -12,10 +12,6 @@ from ..tools import presets
 from .queries import _SOURCES, answered_results, query, search_results, table
 
 
-def _one_list(df: DataFrame, *order: str) -> DataFrame:
-    return df.groupBy("result_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("xs"))
-
-
 @query("""
 select o_orderpriority as query, o_orderstatus as page, count(*)::double as clicks, sum(o_custkey)::double as impressions, 0.0::double as ctr from orders group by 1, 2""")
 def console_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,3 +128,32 @@ def supported_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with the sources that support them by company, title and snippet."""
     got = citations.link_statements(answered_results(spark, sf_dir).withColumn("company", F.lit("Example")), text="answer")
     return got.select("result_id", F.size("supporting").alias("n_supporting"), F.round(F.get("supporting", F.lit(0))["score"], 6).alias("best"))
+
+
+#: Levels that the lists of the built overviews nest.
+_LEVELS = 12
+
+
+@query(f"""
+with o as (select o_custkey c, o_orderkey k, o_orderstatus s, row_number() over (partition by o_custkey order by o_orderkey) n from orders),
+i as (select c, k, n, l, case when l = 0 then 'Order ' || k else 'level ' || l || ' ' || s end as said from o, range({_LEVELS}) t(l)),
+t as (select c, string_agg(said, chr(10) order by n, l) as plain, string_agg('- ' || said, chr(10) order by n, l) as md, max(k) as last, count(distinct k) as ks from i group by c)
+select c as custkey, left(plain || chr(10) || chr(10) || 'Customer ' || c || ' [1]', 16000) as answer, left(md || chr(10) || chr(10) || 'Customer ' || c || ' [1]', 16000) as markdown,
+  'http://orders.example/' || last as first_url, ks::int as n_sources from t""")
+def nested_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overviews of each customer's orders, an item an order, whose lists nest twelve deep; the latest order is cited."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    item = F.struct(F.lit("level " + str(_LEVELS - 1)).alias("title"), F.col("o_orderstatus").alias("snippet"))
+    for level in range(_LEVELS - 2, -1, -1):
+        title, snippet = (F.lit(f"level {level}"), F.col("o_orderstatus")) if level else (F.lit("Order"), F.col("o_orderkey").cast("string"))
+        item = F.struct(title.alias("title"), snippet.alias("snippet"), F.array(item).alias("list"))
+    listed = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.to_json(item).alias("item")))).alias("xs"))
+    names = F.transform("xs", lambda x: x["item"])
+    refs = F.transform("xs", lambda x: F.concat(F.lit('{"index":'), x["o_orderkey"].cast("string"), F.lit(',"title":"t","link":"http://orders.example/'), x["o_orderkey"].cast("string"), F.lit('"}')))
+    last = F.element_at("xs", -1)["o_orderkey"].cast("string")
+    payload = F.concat(
+        F.lit('{"textBlocks":[{"type":"list","list":['), F.array_join(names, ","), F.lit(']},{"type":"paragraph","snippet":"Customer '), F.col("o_custkey").cast("string"),
+        F.lit('","referenceIndexes":['), last, F.lit(']}],"references":['), F.array_join(F.reverse(refs), ","), F.lit("]}"),
+    )
+    got = payloads.parse_overview(listed.select(F.col("o_custkey").alias("custkey"), payload.alias("payload")))
+    return got.select("custkey", "answer", F.col("answerMarkdown").alias("markdown"), F.get("sources", F.lit(0))["url"].alias("first_url"), F.size("sources").alias("n_sources"))

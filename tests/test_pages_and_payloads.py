@@ -119,3 +119,26 @@ def test_records(spark):
     assert {r.model: r.cost for r in costed.collect()} == {"m-2024-01-01": 2.0, "free": None, "x": None, "m": None}
     assert tuple(records.total_usage(costed).first()) == (1_000_006, 6, 1_000_012, 3, 2.0)
     assert df.select(records.empty_record([F.col("k")])).collect()[1][0]
+
+
+def test_lists_nest_to_any_depth(spark):
+    item = {"title": "level 299"}
+    for level in range(298, -1, -1):
+        item = {"title": f"level {level}", "snippet": None if level % 2 else 7, "list": [item, "no item", None, {"snippet": f"after {level}"}]}
+    rows = [(1, json.dumps({"textBlocks": [{"type": "list", "list": [item]}, {"type": "list"}, {"type": "list", "list": "none"}]}))]
+    got = payloads.parse_overview(spark.createDataFrame(rows, "id int, payload string")).first()
+    said = got.answer.split("\n")
+    assert said[:3] == ["level 0 7", "level 1", "level 2 7"] and said[298:302] == ["level 298 7", "level 299", "after 298", "after 297"] and said[-1] == "after 0" and len(said) == 599
+    assert got.answerMarkdown.split("\n")[12] == "- level 12 7"
+
+
+def test_large_and_deep_pages(spark):
+    """20,000 items, headings and fields, and 20,000 open boxes, in one pass."""
+    n = 20_000
+    many = "<ul>" + "<li>x" * n + "</ul>" + "<h2>a<b>c</b></h2><h3>d</h3>" * n + "<form>" + "<label for=i>L</label><input id=i>" * n + "</form>"
+    rows = [(1, "http://a.example/", many), (2, "http://a.example/", "<div>" * n + "<p>A text of more than twenty letters<ul><li>deep" + "</div>" * n), (3, "http://a.example/", "why " * 200_000)]
+    got = {r.id: r for r in pages.page_content(spark.createDataFrame(rows, "id int, url string, html string")).drop("html").collect()}
+    assert [len(x["items"]) for x in got[1].lists] == [n] and len(got[1].headings) == 2 * n and got[1].headings[-1].parent == 2 * n - 2
+    assert [(len(f.fields), f.fields[-1].label) for f in got[1].forms] == [(n, "L")]
+    assert got[2].paragraphs == ["A text of more than twenty letters"] and [list(x["items"]) for x in got[2].lists] == [["deep"]]
+    assert got[3].questions == []

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from skylark.plans import payload_queries, queries  # noqa: F401
+from skylark.plans import page_queries, payload_queries, queries  # noqa: F401
 
 SF_DIR = "/root/testdata/sf0.001"
 
