@@ -45,6 +45,6 @@ OPERATORS: dict[str, str] = {
     "turn_intents": "L1 L2 L6",
     "supported_statements": "J5",
     "page_parts": "H1 H3 H4 H5 H6 H7 H8 W2",
-    "page_means": "A11 A12 A13 A14 H12",
+    "page_means": "A11 A12 A13",
     "nested_overviews": "N2 J9 T25",
 }

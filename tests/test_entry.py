@@ -22,6 +22,6 @@ def test_entry_without_the_training_data_subpackage(tmp_path, gone):
 
 
 def test_inventory_names_each_query():
-    from skylark.plans import inventory, payload_queries, queries  # noqa: F401
+    from skylark.plans import inventory, page_queries, payload_queries, queries  # noqa: F401
 
     assert set(inventory.OPERATORS) == set(queries.QUERIES)
