@@ -141,3 +141,18 @@ def without_adjacent_repeats(parts: Column | str) -> Column:
 
 def truncate(c: Column | str, n: int) -> Column:
     return F.substring(col(c), 1, n)
+
+
+def dedent(c: Column | str) -> Column:
+    """Without the indentation that all lines share; the lines of a paragraph become one, but for list items.
+
+    Blank lines don't count for the indentation. A paragraph that begins with a list mark (-, *, +, 1. or a.) keeps its lines. Null stays null.
+    """
+    filled = lambda line: trim_all(line) != ""
+    lines = F.split(col(c), "\n")
+    width = F.array_min(F.transform(F.filter(lines, filled), lambda x: F.length(F.regexp_extract(x, r"^[ \t]*", 0))))
+    cut = lambda s: F.transform(s["lines"], lambda x: F.when(filled(x), F.substr(x, s["width"] + 1)).otherwise(x))
+    known = F.array(F.struct(lines.alias("lines"), F.coalesce(width, F.lit(0)).alias("width")))
+    paragraphs = F.split(F.array_join(F.get(F.transform(known, cut), F.lit(0)), "\n"), "\n\n")
+    one = lambda p: F.when(trim_all(p).rlike(r"^([-*+]|\d+\.|[a-zA-Z]\.) "), p).otherwise(F.replace(p, F.lit("\n"), F.lit(" ")))
+    return trim_all(F.array_join(F.transform(paragraphs, one), "\n\n"))

@@ -141,3 +141,11 @@ def test_public_suffix_rules(spark):
     got = urls.suffix_domains(df, "h", rules).collect()
     assert len(got) == len(want) + 2 and {r.h: r.domain for r in got} == want | {None: None}
     assert urls.suffix_domains(df.limit(0), "h", rules).count() == 0
+
+
+def test_dedent(spark):
+    cases = {
+        "\n    You are\n    a judge.\n\n    - one\n      - two\n\n    1. a\n    2. b\n  ": "You are a judge.\n\n- one\n  - two\n\n1. a\n2. b",
+        "a\n  b": "a   b", "\t\tx\n\t\ty\n\n\n\t\tz": "x y\n\n z", "": "", " \n \n": "", "  b. x\n  c. y": "b. x\nc. y", "-x\ny": "-x y", "  w\n" * 20_000: "w " * 19_999 + "w", None: None,
+    }
+    assert dict(values(spark, [(t,) for t in cases], "t string", "t", text.dedent("t"))) == cases
