@@ -142,3 +142,14 @@ def test_large_and_deep_pages(spark):
     assert [(len(f.fields), f.fields[-1].label) for f in got[1].forms] == [(n, "L")]
     assert got[2].paragraphs == ["A text of more than twenty letters"] and [list(x["items"]) for x in got[2].lists] == [["deep"]]
     assert got[3].questions == []
+
+
+def test_elements_leave_in_bounded_lots():
+    import pyarrow as pa
+
+    from skylark.operators import html_elements
+
+    pages_ = pa.array(["<ul>" + "<li>x" * 99 + "</ul>"] * 1000 + [None])
+    lots = list(html_elements._lots(iter([pages_, pages_[:0], pages_[:3]])))
+    assert [len(x) for x in lots] == [200] * 5 + [1, 3]
+    assert sum(len(e) for lot in lots for e in lot.to_pylist()) == 100 * 1003
