@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,11 +17,14 @@ _BLOCK = "struct<type:string,snippet:string,referenceIndexes:array<int>,list:str
 _REF = "struct<index:int,title:string,link:string,url:string,snippet:string,source:string>"
 OVERVIEW = f"textBlocks array<{_BLOCK}>, references array<{_REF}>, aiOverview struct<textBlocks:array<{_BLOCK}>,references:array<{_REF}>>"
 LONGEST = 16_000
+#: What a text has if clean_text changes it: braces, white space other than single spaces, spaces at its ends.
+_UNCLEAN = r"(?U)[{}\x{FEFF}]|[^\S ]|  |^ | \z"
 
 
 def clean_text(c: Column) -> Column:
     """Without style rules that leaked into it and runs of spaces, lines trimmed, blank lines collapsed."""
-    return collapse_blank_lines(F.regexp_replace(without_css(c), r"[ \t\x{A0}]+", " "))
+    full = lambda t: collapse_blank_lines(F.regexp_replace(without_css(t), r"[ \t\x{A0}]+", " "))
+    return F.get(F.transform(F.array(c), lambda t: F.when(t.rlike(_UNCLEAN), full(t)).otherwise(t)), F.lit(0))
 
 
 def clean_answer(c: Column) -> Column:
@@ -30,7 +34,9 @@ def clean_answer(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(said, "\n"), "\n\n\n+", "\n\n"))
 
 
-_ITEM = pa.struct([("level", pa.int32()), ("title", pa.string()), ("snippet", pa.string())])
+_LISTS = pa.list_(pa.list_(pa.struct([("level", pa.int32()), ("title", pa.string()), ("snippet", pa.string())])))
+#: Items that a task holds before it hands them to Spark; a longer row is held alone.
+HELD = 50_000
 
 
 def _items(listed: str | None) -> list[dict]:
@@ -50,20 +56,37 @@ def _items(listed: str | None) -> list[dict]:
     return out
 
 
+def _lots(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The items of each row's lists, in lots of about HELD items, so that a task's memory does not follow the rows of a batch."""
+    for rows in batches:
+        held, n = [], 0
+        for row in rows:
+            held.append([_items(x) for x in row.as_py() or []])
+            n += 1 + sum(map(len, held[-1]))
+            if n >= HELD:
+                yield pa.array(held, _LISTS)
+                held, n = [], 0
+        if held:
+            yield pa.array(held, _LISTS)
+
+
 def nested_items(blocks: Column) -> Column:
     """The items (level, title, snippet) of each of a row's lists, given as JSON; null has none."""
 
     @F.arrow_udf("array<array<struct<level:int,title:string,snippet:string>>>")
-    def flat(rows: pa.Array) -> pa.Array:
-        return pa.array([[_items(x) for x in row.as_py() or []] for row in rows], pa.list_(pa.list_(_ITEM)))
+    def flat(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _lots(batches)
 
     return flat(blocks)
 
 
-def _lines(items: Column, markdown: bool) -> Column:
-    """The lines of a nested list, in order; items without text are left out."""
+def _said(items: Column) -> Column:
+    """The items of a nested list with their text, in order; items without text are left out."""
     text = lambda i: clean_text(F.trim(F.concat_ws(" ", F.nullif(i["title"], F.lit("")), F.nullif(i["snippet"], F.lit("")))))
-    said = F.filter(F.transform(items, lambda i: F.struct(i["level"].alias("level"), text(i).alias("text"))), lambda i: i["text"] != "")
+    return F.filter(F.transform(items, lambda i: F.struct(i["level"].alias("level"), text(i).alias("text"))), lambda i: i["text"] != "")
+
+
+def _lines(said: Column, markdown: bool) -> Column:
     return F.transform(said, lambda i: F.concat(F.repeat(F.lit("  "), i["level"]), F.lit("- "), i["text"]) if markdown else i["text"])
 
 
@@ -106,7 +129,8 @@ def parse_overview(df: DataFrame, payload: str = "payload", nested: bool = True)
     base = base.withColumn("_r", known).withColumn("_urls", F.array_distinct(F.transform("_r", link)))
     seat = lambda i: F.array_position("_urls", link(F.get(F.filter("_r", lambda r: r["index"] == i), F.lit(0)))).cast("int")
 
-    base = base.withColumn("_i", nested_items(F.transform("_b", lambda b: F.when(b["type"] == "list", b["list"]))))
+    listed = nested_items(F.transform("_b", lambda b: F.when(b["type"] == "list", b["list"])))
+    base = base.withColumn("_i", listed).withColumn("_i", F.transform("_i", _said))
 
     def piece(b: Column, i: Column, markdown: bool) -> Column:
         marks = F.array_distinct(F.filter(F.transform(F.coalesce(b["referenceIndexes"], F.array().cast("array<int>")), seat), lambda n: n > 0))

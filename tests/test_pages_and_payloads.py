@@ -153,3 +153,17 @@ def test_elements_leave_in_bounded_lots():
     lots = list(html_elements._lots(iter([pages_, pages_[:0], pages_[:3]])))
     assert [len(x) for x in lots] == [200] * 5 + [1, 3]
     assert sum(len(e) for lot in lots for e in lot.to_pylist()) == 100 * 1003
+
+
+def test_items_leave_in_bounded_lots():
+    import pyarrow as pa
+
+    rows = pa.array([[json.dumps([{"title": "t", "list": [{"title": "u"}]}] * 499), None]] * 250 + [None])
+    assert [len(x) for x in payloads._lots(iter([rows, rows[:0], rows[:2]]))] == [51, 51, 51, 51, 47, 2]
+
+
+def test_clean_text_of_any_white_space(spark):
+    pairs = [("plain text", "plain text"), (" a", "a"), ("a ", "a"), ("a  b", "a b"), ("a\u2003", "a"), ("\ufeffa", "a"), ("a \r\n\u2003\n \n\t b", "a\n\nb"), ("a\u00a0b", "a b"), ("a\u2003b", "a\u2003b"), ("a\n", "a"),
+             ("x .a{b:c} y", "x y"), ("\u2003" * 20000 + "z", "z"), ("", ""), (None, None)]
+    df = spark.createDataFrame(pairs, "t string, want string")
+    assert [r.got for r in df.select(payloads.clean_text(F.col("t")).alias("got")).collect()] == [w for _, w in pairs]
