@@ -180,6 +180,47 @@ def segment_nbest(pieces: Pieces, segment: str, n: int) -> list[tuple[int, tuple
     return [(s, tuple(itertools.chain.from_iterable(pieces.ids_of(segment, *own) for own in labels))) for s, labels in paths]
 
 
+def segment_best(pieces: Pieces, segment: str) -> tuple[int, tuple[int, ...]]:
+    """(score, ids) of the best segmentation of one segment: forward Viterbi, then backward A-star.
+
+    Of ties the longest last piece comes first, as in Scored: the edges into a node are pushed by falling start.
+    """
+    if len(segment) > LONG:
+        start, end, score, ident = (x.tolist() for x in pieces.edge_arrays(segment))
+        alpha, _ = _forward(len(segment), start, end, score)
+        first = np.searchsorted(np.array(end), np.arange(len(segment) + 2)).tolist()
+        into = lambda v: ((start[i], score[i], (start[i], ident[i])) for i in range(first[v + 1] - 1, first[v] - 1, -1))
+        total, labels = backward_astar(len(segment) + 1, into, alpha, 1)[0]
+        return total, tuple(itertools.chain.from_iterable(pieces.ids_of(segment, *own) for own in labels))
+    edges, alpha, known, longest = [[]], [0], pieces.score.get, pieces.longest
+    for end in range(1, len(segment) + 1):
+        into_end, most = [], _NONE
+        for start in range(end - 1, max(0, end - longest) - 1, -1):
+            found = known(segment[start:end])
+            if found:
+                into_end.append((start, found[1], found[:1]))
+            elif start == end - 1:
+                into_end += [(start, x, ids) for _, x, ids in pieces.edges(segment[start:end], 1)]
+            else:
+                continue
+            most = max(most, alpha[start] + into_end[-1][1])
+        edges.append(into_end)
+        alpha.append(most)
+    total, labels = backward_astar(len(segment) + 1, edges.__getitem__, alpha, 1)[0]
+    return total, tuple(itertools.chain.from_iterable(labels))
+
+
+class Best:
+    """Best ids and best score for each of a list of distinct segments, by backward A-star over each one's lattice."""
+
+    def __init__(self, pieces: Pieces, segments: list[str]) -> None:
+        found = [segment_best(pieces, s) for s in segments]
+        self.best = np.array([score for score, _ in found], np.int64)
+        self.count = np.array([len(ids) for _, ids in found], np.int64)
+        self.ids = np.fromiter(itertools.chain.from_iterable(ids for _, ids in found), np.int32)
+        self.start = np.cumsum(self.count) - self.count
+
+
 class Scored:
     """Best ids, best score and loss of the second best path for each of a list of distinct segments."""
 
@@ -280,11 +321,12 @@ class Scored:
         return np.concatenate(seg), np.concatenate(pos), np.concatenate(got)
 
 
-def text_nbest(pieces: Pieces, scored: Scored, segments: list[str], where: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
+def text_nbest(pieces: Pieces, scored: Scored | Best, segments: list[str], where: np.ndarray, n: int) -> list[tuple[int, np.ndarray]]:
     """(score, ids) of the n best segmentations of a text whose i-th segment is segments[where[i]].
 
     Only the n - 1 segments with the least loss can differ from their best path in the n best of the text:
-    n - 1 single changes of at most that loss exist already. A-star runs over the chain of these.
+    n - 1 single changes of at most that loss exist already. A-star runs over the chain of these. The best path of
+    a text is made of its segments' best paths, which A-star found (Best), so n = 1 has no chain to search.
     """
     count = scored.count[where]
     ends = np.cumsum(count)
@@ -330,7 +372,7 @@ def encode_batch(pieces: Pieces, texts: list[str | None], n: int) -> Iterator[li
         found = pieces.segment.findall(MARK + text.replace(" ", MARK)) if text else []
         rows.append(np.array([index.setdefault(s, len(index)) for s in found], np.int64))
     segments = list(index)
-    scored = Scored(pieces, segments)
+    scored = Best(pieces, segments) if n == 1 else Scored(pieces, segments)
     for where in rows:
         yield text_nbest(pieces, scored, segments, where, n)
 
