@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import discard, n_partitions, written
 from .graph import components
 
-#: Pivots of a key: one in the first round, four in the second, then so many times more in each.
-WIDEN = 8
+#: Pivots of a key: one in the first round, so many in the second, then so many times more in each.
+PIVOTS, WIDEN = 4, 8
 #: Sets that are compared with one copy of a pivot's set.
 BLOCK = 256
 Confirm = Callable[[DataFrame], DataFrame]
@@ -60,7 +60,7 @@ def token_set(value: bytes) -> np.ndarray:
     return np.frombuffer(value, "<u8")
 
 
-def linked(seats: DataFrame, fits: str, confirm: Confirm, later: Callable[[DataFrame], tuple[DataFrame, str, Confirm]] | None = None) -> DataFrame | None:
+def linked(seats: DataFrame, fits: str, confirm: Confirm, later: Callable[[DataFrame], tuple[DataFrame, str, Confirm]] | None = None, pivots_of_key: int = PIVOTS, widen: int = WIDEN) -> DataFrame | None:
     """(node, component) of the reps that are linked with others, None if there is no link.
 
     seats is (key, rep, weight, ...), a written table that is deleted here; fits is a condition on two seats of a
@@ -72,18 +72,18 @@ def linked(seats: DataFrame, fits: str, confirm: Confirm, later: Callable[[DataF
 
     In the first round the pivot has the greatest weight, which should tell the centre of a family, and a row
     meets one pivot, the weightiest of all its keys. In later rounds the pivots are of the component with the
-    greatest id first, hence of late joiners, and their number grows eightfold a round, so that rounds
-    end when all pairs of the hardest key that fit are compared. later is called once, on the seats (key, rep,
-    c, ...) that the first round left, and may give them more columns and fewer rows and a sharper condition.
+    greatest id first, hence of late joiners, and their number grows widen-fold a round from pivots_of_key, so that
+    rounds end when all pairs of the hardest key that fit are compared. In a key of no more rows than that each is a
+    pivot. later is called once, on the seats (key, rep, c, ...) that the first round left, and may give them more
+    columns and fewer rows and a sharper condition; the sharper it is, the faster the number of pivots may grow.
     """
-    shared = seats.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
-    now, found, tried, step = written(seats.join(shared, "key")), None, None, 0
-    discard(seats)
+    now, found, tried, step = seats, None, None, 0
     while True:
         own = F.coalesce("component", "rep") if found is not None else F.col("rep")
-        labelled = now.drop("c").join(found.withColumnRenamed("node", "rep"), "rep", "left") if found is not None else now.drop("c")
-        labelled = labelled.select(*[c for c in now.columns if c != "c"], own.alias("c"))
-        open_keys = labelled.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("key")
+        bare = now.drop("c", "_n")
+        labelled = bare.join(found.withColumnRenamed("node", "rep"), "rep", "left") if found is not None else bare
+        labelled = labelled.select(*bare.columns, own.alias("c"))
+        open_keys = labelled.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi"), F.count("*").alias("_n")).filter("_lo <> _hi").select("key", "_n")
         last, now = now, written(labelled.join(open_keys, "key"))
         discard(last)
         if step == 1 and later is not None and now.limit(1).count():
@@ -91,16 +91,14 @@ def linked(seats: DataFrame, fits: str, confirm: Confirm, later: Callable[[DataF
             now, fits, confirm = later(now)
             now = written(now)
             discard(last)
-            open_keys = now.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).filter("_lo <> _hi").select("key")
-            last, now = now, written(now.join(open_keys, "key"))
-            discard(last)
-        if not now.limit(1).count():
+        largest = now.agg(F.max("_n")).first()[0]
+        if largest is None:
             discard(now)
             return found
-        ways = 4 * WIDEN ** (step - 1) if step else 1
-        rest = [c for c in now.columns if c not in ("key", "rep", "c", "weight")]
+        ways = pivots_of_key * widen ** (step - 1) if step else 1
+        rest = [c for c in now.columns if c not in ("key", "rep", "c", "weight", "_n")]
         order = ["weight", "rep", "c"] if step == 0 else ["c", "weight", "rep"]
-        part = F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(ways))
+        part = F.when(F.col("_n") <= ways, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep", F.lit(step)), F.lit(ways)))
         pivots = now.groupBy("key", part.alias("part")).agg(F.max(F.struct(*order, *rest)).alias("p"))
         pivots = written(pivots.select("key", F.col("p.rep").alias("pivot"), *[F.col(f"p.{c}").alias(f"p_{c}") for c in ("c", "weight", *rest)]))
         met = now.join(pivots, "key").filter(f"c <> p_c and {fits}")
@@ -116,6 +114,9 @@ def linked(seats: DataFrame, fits: str, confirm: Confirm, later: Callable[[DataF
         tried = done if tried is None else tried.union(done)
         if links.limit(1).count():
             found = written(components(links if found is None else links.union(found.select("node", "component"))))
+        if largest <= ways:
+            discard(now, pivots, links)
+            return found
         if step:
             last, now = now, written(now.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti"))
             discard(last)

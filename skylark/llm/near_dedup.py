@@ -22,6 +22,11 @@ SYMBOLS = CHUNKS * PER_CHUNK
 #: Pairs that share a key are compared on full sets up to this distance. A pair at similarity 0.80 lies beyond it
 #: once in a million times, at 0.85 in a thousand million; at 0.4, four of five pairs do.
 FARTHEST = 24
+#: Bits of a parity of a set, and 64-bit numbers that hold them.
+PARITY_BITS = 1024
+PARITY_LANES = PARITY_BITS // 64
+#: See linking.linked: once the parities exclude nearly all pairs that are no links, few rounds are better than few pivots.
+PIVOTS, WIDEN = 32, 64
 _rng = np.random.default_rng(85)
 _MULT = (_rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))[:, None]
 _ADD = _rng.integers(0, 2**63, SYMBOLS, dtype=np.uint64)[:, None]
@@ -63,6 +68,32 @@ def first_shared() -> str:
     return f"(place % {PER_CHUNK} = 0 or {_wrong(f'place div {PER_CHUNK}')} = 1) and {before}"
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """For each of 1024 values of a token's top bits, whether an odd number of the set's tokens has it, as 64-bit numbers.
+
+    Each token that only one of two sets has changes one bit, so the parities differ in no more bits than there
+    are such tokens.
+    """
+    odd = np.bincount((tokens >> np.uint64(64 - PARITY_BITS.bit_length() + 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def _with_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        each = np.concatenate([np.empty(0, "<i8"), *(parity(token_set(value.as_py())) for value in batch.column(2))])
+        cuts = pa.array(np.arange(batch.num_rows + 1) * PARITY_LANES, pa.int32())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(cuts, pa.array(each, pa.int64()))], names=["rep", "n", "value", "parity"])
+
+
+def differing(percent: int) -> str:
+    """Whether two sets (n, core of its tokens shared with any other set, their parity) may differ in as few tokens as a link asks, as SQL.
+
+    Of n + p_n = union + intersection tokens, a link's sets differ in (100 - percent) / (100 + percent) at most.
+    """
+    unlike = " + ".join(f"bit_count(parity[{k}] ^ p_parity[{k}])" for k in range(PARITY_LANES))
+    return f"{100 + percent} * (n - core + p_n - p_core + {unlike}) <= {100 - percent} * (n + p_n)"
+
+
 def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,8 +136,10 @@ def link_classes(classes: DataFrame, numbered: DataFrame, text: str, width: int,
     A bucket holds the classes that share a signature key. A class weighs as much as its buckets hold, so the
     text that a family was made from is its first pivot. Before texts are compared the distance of the
     signatures is. After the first round a pair meets only at the first key that it shares. For the classes that the first round leaves, the frequencies of their shingles among them
-    are counted: a set shares no more with any other than the shingles that some other of them has, which excludes most close but
-    unlinked pairs exactly, and these shingles are all that later comparisons need.
+    are counted: a set shares no more with any other than the shingles that some other of them has, and these shingles
+    are all that later comparisons need. Their parities bound from below in how many two sets differ. Both are exact
+    and together exclude nearly all close but unlinked pairs before a pair is made, so also in a large family whose
+    members share every change with some other.
     """
     keys = classes.select("rep", F.col("n_shingles").alias("n"), F.posexplode(_keys()).alias("place", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("held")).filter("held > 1")
@@ -130,13 +163,14 @@ def link_classes(classes: DataFrame, numbered: DataFrame, text: str, width: int,
         total = classes.join(left, "rep").agg(F.sum("n_shingles")).first()[0]
         blocks = in_blocks(texts.join(left, "rep").select(F.col("rep").cast("string").cast("binary").alias("id"), F.col("value").alias("text")), total)
         found = shared_shingles(blocks, total, width, percent).filter("tokens is not null").select("id", F.col("n").alias("size"), "tokens")
-        sets = written(found.join(left.withColumn("id", F.col("rep").cast("string").cast("binary")), "id").select("rep", F.col("size").alias("n"), F.col("tokens").alias("value")))
+        named = found.join(left.withColumn("id", F.col("rep").cast("string").cast("binary")), "id").select("rep", F.col("size").alias("n"), F.col("tokens").alias("value"))
+        sets = written(named.mapInArrow(_with_parity, "rep long, n long, value binary, parity array<long>"))
         discard(left, blocks)
-        more = sets.select("rep", (F.octet_length("value") / 8).cast("long").alias("core"))
-        fits = f"{sizes} and {100 + percent} * least(core, p_core) >= {percent} * (n + p_n) and {distance()} <= {FARTHEST} and {first_shared()}"
+        more = sets.select("rep", (F.octet_length("value") / 8).cast("long").alias("core"), "parity")
+        fits = f"{sizes} and {100 + percent} * least(core, p_core) >= {percent} * (n + p_n) and {distance()} <= {FARTHEST} and {first_shared()} and {differing(percent)}"
         return now.join(more, "rep").join(signs, "rep"), fits, lambda pairs: confirmed(pairs, sets, token_set, percent)
 
-    return linked(seats, sizes, confirm, later)
+    return linked(seats, sizes, confirm, later, PIVOTS, WIDEN)
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

@@ -557,6 +557,39 @@ def test_near_dedup_in_families_and_chains(spark, monkeypatch):
     assert Counter(tuple(r) for r in got) == Counter(plain_groups(table, 85))
 
 
+def test_near_dedup_pairs_of_close_texts_do_not_grow_with_the_square(spark, monkeypatch):
+    """Texts around one that is not there, hardly linked, which share every change with others."""
+    rng = random.Random(5)
+    base = ["b%d" % i for i in range(120)]
+    spots = {i: ["v%d-%d" % (i, k) for k in range(3)] for i in range(4, 118, 9)}
+    texts = []
+    for _ in range(160):
+        t = list(base)
+        for i in rng.sample(sorted(spots), 3):
+            t[i] = rng.choice(spots[i])
+        texts.append(" ".join(t))
+    real, seen = near_dedup.confirmed, []
+    monkeypatch.setattr(near_dedup, "confirmed", lambda pairs, *rest: (seen.append(pairs.count()), real(pairs, *rest))[1])
+    for n in (80, 160):
+        seen.append(0)
+        table = list(enumerate(texts[:n]))
+        got = near_dedup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string"), percent=85).collect()
+        assert Counter(tuple(r) for r in got) == Counter(plain_groups(table, 85))
+    at = len(seen) - 1 - seen[::-1].index(0)
+    print("pairs", seen)
+    assert sum(seen[at:]) <= 3 * 160
+
+
+def test_parities_bound_the_difference_of_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 3000):
+        x = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[: n - n // 3], rng.integers(0, 2**63, n // 4, dtype=np.uint64)]))
+        unlike = sum(bin(int(a) & (2**64 - 1)).count("1") for a in near_dedup.parity(x) ^ near_dedup.parity(y))
+        assert unlike <= len(np.setxor1d(x, y)) and (n != 40 or unlike >= len(np.setxor1d(x, y)) - 4)
+    assert len(near_dedup.parity(x[:0])) == near_dedup.PARITY_LANES and not near_dedup.parity(x[:0]).any()
+
+
 def test_near_dedup_tells_rows_apart_without_ids(spark):
     rng = random.Random(3)
     a, b, c, d, e = (" ".join("w%d" % rng.randint(0, 9999) for _ in range(60)) for _ in range(5))
