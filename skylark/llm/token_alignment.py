@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, written
 
-#: Chunks of text whose tokens a worker remembers; longer chunks than CHUNK characters are not remembered.
-REMEMBERED, CHUNK = 300_000, 48
+#: Chunks of more characters than this are cut further.
+CHUNK = 48
 #: Characters of text that share one list of distinct chunks; a longer text has a list of its own.
 BUNDLE = 4_000_000
 #: Linked id pairs up to which their counts are broadcast (some 100 MB as Spark holds them); beyond, they are joined by a shuffle.
@@ -25,17 +25,50 @@ BROADCAST_PAIRS = 2_000_000
 _CHUNKS = "array<struct<a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>>>"
 
 
-class _Tokens(dict):
-    """Token ids of chunks of text, as bytes of 32-bit numbers; None where the tokens' bytes are not the chunk's."""
+class _Tokens:
+    """A vocabulary: encode gives a list of token ids for each text of a list, contents are the tokens' bytes; so many plain chunks are encoded together."""
 
-    def __init__(self, encode, contents: list[bytes]) -> None:
-        self.encode, self.contents = encode, contents
+    def __init__(self, encode, contents: list[bytes], together: int) -> None:
+        self.encode, self.contents, self.together = encode, contents, together
         self.lengths = np.array([len(b) for b in contents], np.int64)
 
-    def learn(self, chunks: list[str]) -> None:
-        for chunk, ids in zip(chunks, self.encode(chunks)):
-            same = b"".join(map(self.contents.__getitem__, ids)) == chunk.encode("utf-8", "surrogatepass")
-            self[chunk] = np.array(ids, np.int32).tobytes() if same else None
+    def _same(self, ids: list[int], chunk: str) -> bool:
+        return b"".join(map(self.contents.__getitem__, ids)) == chunk.encode("utf-8", "surrogatepass")
+
+    def _joined(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, number of tokens of each chunk) of stretches of plain chunks, each encoded as one text; -1 for a chunk whose tokens' bytes are not its own."""
+        cut = [chunks[at : at + self.together] for at in range(0, len(chunks), self.together)]
+        texts = ["".join(some) for some in cut]
+        out = []
+        for some, text, ids in zip(cut, texts, self.encode(texts)):
+            if self._same(ids, text):
+                found = np.array(ids, np.int32)
+                ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in some])
+                token_ends = np.cumsum(self.lengths[found])
+                spots = np.searchsorted(token_ends, ends)
+                if (token_ends[spots] == ends).all():
+                    out.append((found, np.diff(spots + 1, prepend=0)))
+                    continue
+            out.extend(self._single(some))
+        return out
+
+    def _single(self, chunks: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        every = [ids if self._same(ids, chunk) else None for chunk, ids in zip(chunks, self.encode(chunks))]
+        ids = np.fromiter(itertools.chain.from_iterable(x or () for x in every), np.int32)
+        return [(ids, np.array([-1 if x is None else len(x) for x in every], np.int64))]
+
+    def of(self, plain: list[str], odd: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all chunks, and how many each has."""
+        found = [*self._joined(plain), *self._single(odd)]
+        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+
+class _Places(dict):
+    """Numbers chunks as they come."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -56,7 +89,7 @@ def _byte_level(model: bytes) -> _Tokens:
     contents = [b""] * (max(vocabulary.values()) + 1)
     for entry, i in vocabulary.items():
         contents[i] = bytes(letters[c] for c in entry)
-    return _Tokens(lambda chunks: [x.ids for x in tokenizer.encode_batch(chunks, add_special_tokens=False)], contents)
+    return _Tokens(lambda chunks: [x.ids for x in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)], contents, 500)
 
 
 @lru_cache(2)
@@ -69,7 +102,7 @@ def _pieces(model: bytes) -> _Tokens:
         contents[i] = bytes([int(sp.id_to_piece(i)[3:5], 16)])
     mark = [sp.piece_to_id("▁")]
     # The model puts a space before what it encodes; of a lone space it would make nothing.
-    return _Tokens(lambda chunks: [ids if c != " " else mark for c, ids in zip(chunks, sp.encode([c[1:] for c in chunks], num_threads=1))], contents)
+    return _Tokens(lambda chunks: [ids if c != " " else mark for c, ids in zip(chunks, sp.encode([c[1:] for c in chunks], num_threads=1))], contents, 200)
 
 
 def _chunks(text: str) -> list[str]:
@@ -83,50 +116,74 @@ def _chunks(text: str) -> list[str]:
     return re.split(r"(?<=\S)(?= )", " " + text)
 
 
-def _cut(chunk: str, kinds: tuple[_Tokens, _Tokens]) -> list[tuple[bytes, bytes]]:
-    """The tokens of a long chunk, of both kinds, in stretches that end where tokens of both kinds do, after CHUNK bytes or more."""
-    ids = [np.frombuffer(kind[chunk], np.int32) for kind in kinds]
-    ends = [np.cumsum(kind.lengths[x]) for kind, x in zip(kinds, ids)]
+def _plain(chunk: str) -> bool:
+    """Whether a chunk's tokens are the same between other chunks of this kind as alone: no white space but its first space at its ends."""
+    return len(chunk) > 1 and not chunk[1].isspace() and not chunk[-1].isspace()
+
+
+def _cuts(ends: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+    """Of the ends of a long chunk's tokens of both kinds, the places after which a stretch ends: where tokens of both kinds do, after CHUNK bytes or more."""
     both = np.intersect1d(*ends, assume_unique=True)
-    at = [0, *both[np.flatnonzero(np.diff(both // CHUNK))], int(both[-1])]
-    spots = [[0, *(np.searchsorted(e, at[1:]) + 1)] for e in ends]
-    return [tuple(x[i:j].tobytes() for x, (i, j) in zip(ids, pair)) for pair in zip(*(zip(s, s[1:]) for s in spots)) if pair[0][0] < pair[0][1]]
+    at = np.unique(np.append(both[np.flatnonzero(np.diff(both // CHUNK))], both[-1]))
+    return [np.searchsorted(e, at) + 1 for e in ends]
 
 
-def _lists(kind: _Tokens, entries: list[bytes]) -> tuple[pa.Array, pa.Array, np.ndarray]:
-    """Ids and ends of each entry as list arrays, and the number of its tokens."""
-    counts = np.array([len(x) // 4 for x in entries], np.int64)
-    ids = np.frombuffer(b"".join(entries), np.int32)
+def _lists(kind: _Tokens, ids: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Ids and ends of each entry as list arrays, from all ids and the number of each entry's tokens."""
     starts = np.concatenate(([0], np.cumsum(counts)))
     sums = np.concatenate(([0], np.cumsum(kind.lengths[ids])))
     ends = (sums[1:] - np.repeat(sums[starts[:-1]], counts)).astype(np.int32)
     cut = pa.array(starts, pa.int32())
-    return pa.ListArray.from_arrays(cut, pa.array(ids)), pa.ListArray.from_arrays(cut, pa.array(ends)), counts
+    return pa.ListArray.from_arrays(cut, pa.array(ids)), pa.ListArray.from_arrays(cut, pa.array(ends))
+
+
+def _entries(chunks: list[str], n_plain: int, kinds: tuple[_Tokens, _Tokens]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Ids of both kinds and their number in each entry, and how many entries each chunk has: one, more for a long one, -1 for one without tokens."""
+    (a_ids, n_a), (b_ids, n_b) = (kind.of(chunks[:n_plain], chunks[n_plain:]) for kind in kinds)
+    good = (n_a >= 0) & (n_b >= 0)
+    ids = [x[np.repeat(good[n >= 0], n[n >= 0])] for x, n in ((a_ids, n_a), (b_ids, n_b))]
+    counts = [n[good] for n in (n_a, n_b)]
+    n_entries = np.where(good, 1, -1)
+    long = [i for i, c in enumerate(chunks) if len(c) > CHUNK and good[i]]
+    if long:
+        place = np.cumsum(good) - 1
+        starts = [np.cumsum(n) - n for n in counts]
+        parts, last = ([], []), 0
+        for i in long:
+            spans = [(s[place[i]], s[place[i]] + n[place[i]]) for s, n in zip(starts, counts)]
+            cuts = _cuts(tuple(np.cumsum(kind.lengths[x[i0:i1]]) for kind, x, (i0, i1) in zip(kinds, ids, spans)))
+            for k in (0, 1):
+                parts[k].extend((counts[k][last : place[i]], np.diff(cuts[k], prepend=0)))
+            n_entries[i], last = len(cuts[0]), place[i] + 1
+        counts = [np.concatenate([*parts[k], counts[k][last:]]) for k in (0, 1)]
+    return ids, counts, n_entries
 
 
 def _bundle(idents: pa.Array, texts: list[str | None], kinds: tuple[_Tokens, _Tokens]) -> pa.RecordBatch:
-    places: dict[str, list[int]] = {}
-    entries: list[tuple[bytes, bytes]] = []
+    places = _Places()
+    seen = [np.fromiter(map(places.__getitem__, chunks), np.int64, len(chunks)) for chunks in (_chunks(text) if text else [] for text in texts)]
+    plain = np.fromiter(map(_plain, places), bool, len(places))
+    order = np.argsort(~plain, kind="stable")
+    listed = list(places)
+    ids, counts, n_entries = _entries([listed[i] for i in order], int(plain.sum()), kinds)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    held = np.maximum(n_entries, 0)
+    first = np.cumsum(held) - held
     rows = []
-    for text in texts:
-        chunks = _chunks(text) if text else []
-        new = [c for c in set(chunks) if c not in places]
-        for kind in kinds:
-            kind.learn([c for c in new if c not in kind])
-        for c in new:
-            made = None if any(kind[c] is None for kind in kinds) else _cut(c, kinds) if len(c) > CHUNK else [(kinds[0][c], kinds[1][c])]
-            places[c] = [-1] if made is None else [*range(len(entries), len(entries) + len(made))]
-            entries.extend(made or ())
-        at = np.fromiter(itertools.chain.from_iterable(map(places.__getitem__, chunks)), np.int32)
-        rows.append(at if not (at < 0).any() else at[:0])
-        for kind in kinds:
-            for c in new:
-                if len(c) > CHUNK or len(kind) > REMEMBERED:
-                    del kind[c]
-    (a_ids, a_ends, n_a), (b_ids, b_ends, n_b) = (_lists(kind, [e[k] for e in entries]) for k, kind in enumerate(kinds))
+    for at in seen:
+        at = number[at]
+        n = n_entries[at]
+        if (n < 0).any():
+            rows.append(np.empty(0, np.int32))
+        elif (n == 1).all():
+            rows.append(first[at].astype(np.int32))
+        else:
+            rows.append((np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())).astype(np.int32))
+    (a_ids, a_ends), (b_ids, b_ends) = (_lists(kind, x, n) for kind, x, n in zip(kinds, ids, counts))
     cut = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
     at = pa.ListArray.from_arrays(cut, pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
-    totals = [pa.array([int(n[at].sum()) for at in rows], pa.int64()) for n in (n_a, n_b)]
+    totals = [pa.array([int(n[at].sum()) for at in rows], pa.int64()) for n in counts]
     docs = pa.StructArray.from_arrays([idents, *totals, at], ["doc_id", "n_a", "n_b", "at"])
     chunks = pa.StructArray.from_arrays([a_ids, a_ends, b_ids, b_ends], ["a_ids", "a_ends", "b_ids", "b_ends"])
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)

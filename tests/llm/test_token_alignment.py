@@ -99,6 +99,21 @@ def test_odd_texts_long_words_and_bundles(spark, plain, monkeypatch):
     assert token_alignment.alignment_digests(df.limit(0), BYTES, PIECES).count() == 0
 
 
+def test_plain_chunks_are_encoded_together(monkeypatch):
+    with open(BYTES, "rb") as f, open(PIECES, "rb") as g:
+        kinds = token_alignment._byte_level(f.read()), token_alignment._pieces(g.read())
+    chunks = sorted({c for text in [*ODD, "q" * 2000, " ".join(f"w{i}x don't{i} é{i}" for i in range(900))] if text for c in token_alignment._chunks(text)})
+    plain, odd = [c for c in chunks if token_alignment._plain(c)], [c for c in chunks if not token_alignment._plain(c)]
+    assert odd and any("\u2581" in c for c in plain)
+    for kind in kinds:
+        calls, real = [], kind.encode
+        monkeypatch.setattr(kind, "encode", lambda texts: (calls.extend(texts), real(texts))[1])  # noqa: B023
+        ids, counts = kind.of(plain, odd)
+        assert len(calls) < len(chunks) / 2
+        alone = kind._single([*plain, *odd])[0]
+        assert ids.tolist() == alone[0].tolist() and counts.tolist() == alone[1].tolist()
+
+
 def test_python_only_tokenises(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = token_alignment.alignments(docs, BYTES, PIECES)._jdf.queryExecution().executedPlan().toString()
