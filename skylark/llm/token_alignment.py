@@ -1,4 +1,4 @@
-"""Cross-tokenizer alignment: Python only tokenises; higher-order functions build groups, links and counts."""
+"""Cross-tokenizer alignment: distinct chunks are tokenised and aligned in numpy and Arrow; Spark builds the documents, the corpus-wide counts and the best links."""
 
 from __future__ import annotations
 
@@ -11,18 +11,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, written
 
-#: Chunks of more characters than this are cut further.
-CHUNK = 48
 #: Characters of text that share one list of distinct chunks; a longer text has a list of its own.
 BUNDLE = 4_000_000
 #: Linked id pairs up to which their counts are broadcast (some 100 MB as Spark holds them); beyond, they are joined by a shuffle.
 BROADCAST_PAIRS = 2_000_000
-_CHUNKS = "array<struct<a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>>>"
+_BUNDLES = "aligned array<struct<groups string, links array<long>>>, docs array<struct<doc_id long, n_a long, n_b long, n_groups long, at array<int>>>"
 
 
 class _Tokens:
@@ -39,11 +38,12 @@ class _Tokens:
         """(ids, number of tokens of each chunk) of stretches of plain chunks, each encoded as one text; -1 for a chunk whose tokens' bytes are not its own."""
         cut = [chunks[at : at + self.together] for at in range(0, len(chunks), self.together)]
         texts = ["".join(some) for some in cut]
+        sizes = pc.binary_length(pa.array(chunks, pa.string())).to_numpy()
         out = []
-        for some, text, ids in zip(cut, texts, self.encode(texts)):
+        for at, some, text, ids in zip(range(0, len(chunks), self.together), cut, texts, self.encode(texts)):
             if self._same(ids, text):
                 found = np.array(ids, np.int32)
-                ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in some])
+                ends = np.cumsum(sizes[at : at + len(some)], dtype=np.int64)
                 token_ends = np.cumsum(self.lengths[found])
                 spots = np.searchsorted(token_ends, ends)
                 if (token_ends[spots] == ends).all():
@@ -121,42 +121,30 @@ def _plain(chunk: str) -> bool:
     return len(chunk) > 1 and not chunk[1].isspace() and not chunk[-1].isspace()
 
 
-def _cuts(ends: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
-    """Of the ends of a long chunk's tokens of both kinds, the places after which a stretch ends: where tokens of both kinds do, after CHUNK bytes or more."""
-    both = np.intersect1d(*ends, assume_unique=True)
-    at = np.unique(np.append(both[np.flatnonzero(np.diff(both // CHUNK))], both[-1]))
-    return [np.searchsorted(e, at) + 1 for e in ends]
-
-
-def _lists(kind: _Tokens, ids: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Ids and ends of each entry as list arrays, from all ids and the number of each entry's tokens."""
-    starts = np.concatenate(([0], np.cumsum(counts)))
-    sums = np.concatenate(([0], np.cumsum(kind.lengths[ids])))
-    ends = (sums[1:] - np.repeat(sums[starts[:-1]], counts)).astype(np.int32)
-    cut = pa.array(starts, pa.int32())
-    return pa.ListArray.from_arrays(cut, pa.array(ids)), pa.ListArray.from_arrays(cut, pa.array(ends))
-
-
-def _entries(chunks: list[str], n_plain: int, kinds: tuple[_Tokens, _Tokens]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Ids of both kinds and their number in each entry, and how many entries each chunk has: one, more for a long one, -1 for one without tokens."""
-    (a_ids, n_a), (b_ids, n_b) = (kind.of(chunks[:n_plain], chunks[n_plain:]) for kind in kinds)
-    good = (n_a >= 0) & (n_b >= 0)
-    ids = [x[np.repeat(good[n >= 0], n[n >= 0])] for x, n in ((a_ids, n_a), (b_ids, n_b))]
-    counts = [n[good] for n in (n_a, n_b)]
-    n_entries = np.where(good, 1, -1)
-    long = [i for i, c in enumerate(chunks) if len(c) > CHUNK and good[i]]
-    if long:
-        place = np.cumsum(good) - 1
-        starts = [np.cumsum(n) - n for n in counts]
-        parts, last = ([], []), 0
-        for i in long:
-            spans = [(s[place[i]], s[place[i]] + n[place[i]]) for s, n in zip(starts, counts)]
-            cuts = _cuts(tuple(np.cumsum(kind.lengths[x[i0:i1]]) for kind, x, (i0, i1) in zip(kinds, ids, spans)))
-            for k in (0, 1):
-                parts[k].extend((counts[k][last : place[i]], np.diff(cuts[k], prepend=0)))
-            n_entries[i], last = len(cuts[0]), place[i] + 1
-        counts = [np.concatenate([*parts[k], counts[k][last:]]) for k in (0, 1)]
-    return ids, counts, n_entries
+def _joined(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The ids from each start to the next, as decimals with commas between."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pc.cast(pa.array(ids), pa.string())), ",")
+
+
+def _aligned(ids: list[np.ndarray], counts: list[np.ndarray], kinds: tuple[_Tokens, _Tokens]) -> tuple[pa.StructArray, np.ndarray]:
+    """(groups, links) of each chunk, and how many groups it has; ids of all chunks' tokens of both kinds in order, and their number in each chunk.
+
+    Both kinds' tokens have the same bytes in every chunk, so offsets may run on over all chunks, and every chunk ends
+    with a cut. Between two ends that follow one another, of either kind, lies the overlap of just one pair.
+    """
+    ends = [np.cumsum(kind.lengths[x]) for kind, x in zip(kinds, ids)]
+    chunk_ends = ends[0][np.cumsum(counts[0]) - 1]
+    merged = np.sort(np.concatenate(ends), kind="stable")
+    new = np.ones(len(merged), bool)
+    new[1:] = merged[1:] != merged[:-1]
+    every, cuts = merged[new], merged[~new]
+    a, b = (x[np.searchsorted(e, every)].astype(np.int64) for x, e in zip(ids, ends))
+    till = lambda where, at: pa.array(np.concatenate(([0], np.searchsorted(where, at, "right"))), pa.int32())
+    links = pa.ListArray.from_arrays(till(every, chunk_ends), pa.array((a << 32) + b))
+    said = pc.binary_join_element_wise(*(_joined(x, till(e, cuts)) for x, e in zip(ids, ends)), "|")
+    of_chunks = till(cuts, chunk_ends)
+    groups = pc.binary_join(pa.ListArray.from_arrays(of_chunks, said), ";")
+    return pa.StructArray.from_arrays([groups, links], ["groups", "links"]), np.diff(of_chunks.to_numpy())
 
 
 def _bundle(idents: pa.Array, texts: list[str | None], kinds: tuple[_Tokens, _Tokens]) -> pa.RecordBatch:
@@ -164,41 +152,36 @@ def _bundle(idents: pa.Array, texts: list[str | None], kinds: tuple[_Tokens, _To
     seen = [np.fromiter(map(places.__getitem__, chunks), np.int64, len(chunks)) for chunks in (_chunks(text) if text else [] for text in texts)]
     plain = np.fromiter(map(_plain, places), bool, len(places))
     order = np.argsort(~plain, kind="stable")
-    listed = list(places)
-    ids, counts, n_entries = _entries([listed[i] for i in order], int(plain.sum()), kinds)
+    listed, n_plain = list(places), int(plain.sum())
+    listed = [listed[i] for i in order]
+    found = [kind.of(listed[:n_plain], listed[n_plain:]) for kind in kinds]
+    good = (found[0][1] >= 0) & (found[1][1] >= 0)
+    ids = [x[np.repeat(good[n >= 0], n[n >= 0])] for x, n in found]
+    counts = [n[good] for _, n in found]
+    aligned, n_groups = _aligned(ids, counts, kinds)
     number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    held = np.maximum(n_entries, 0)
-    first = np.cumsum(held) - held
-    rows = []
-    for at in seen:
-        at = number[at]
-        n = n_entries[at]
-        if (n < 0).any():
-            rows.append(np.empty(0, np.int32))
-        elif (n == 1).all():
-            rows.append(first[at].astype(np.int32))
-        else:
-            rows.append((np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())).astype(np.int32))
-    (a_ids, a_ends), (b_ids, b_ends) = (_lists(kind, x, n) for kind, x, n in zip(kinds, ids, counts))
-    cut = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
-    at = pa.ListArray.from_arrays(cut, pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
-    totals = [pa.array([int(n[at].sum()) for at in rows], pa.int64()) for n in counts]
-    docs = pa.StructArray.from_arrays([idents, *totals, at], ["doc_id", "n_a", "n_b", "at"])
-    chunks = pa.StructArray.from_arrays([a_ids, a_ends, b_ids, b_ends], ["a_ids", "a_ends", "b_ids", "b_ends"])
+    number[order] = np.where(good, np.cumsum(good) - 1, -1)
+    rows = [number[at].astype(np.int32) for at in seen]
+    rows = [at if (at >= 0).all() else at[:0] for at in rows]
+    at = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([*rows, np.empty(0, np.int32)])))
+    totals = [pa.array([int(n[at].sum()) for at in rows], pa.int64()) for n in (*counts, n_groups)]
+    docs = pa.StructArray.from_arrays([idents, *totals, at], ["doc_id", "n_a", "n_b", "n_groups", "at"])
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    return pa.RecordBatch.from_arrays([one(chunks), one(docs)], names=["chunks", "docs"])
+    return pa.RecordBatch.from_arrays([one(aligned), one(docs)], names=["aligned", "docs"])
 
 
-def tokenise(df: DataFrame, byte_model: str, piece_model: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(chunks, docs): bundles of documents, their distinct chunks' tokens, and of each document the places of its chunks.
+def align(df: DataFrame, byte_model: str, piece_model: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """(aligned, docs): bundles of documents, the groups and links of their distinct chunks, and of each document its numbers and the places of its chunks.
 
-    A chunk is a stretch of space+text that no token of either kind leaves, a word with its space or a part of a long one; its
-    tokens are ids and the byte offsets in it where they end. A is a byte-level BPE (a tokenizers JSON file), B a
-    SentencePiece model; strings of special tokens are plain text. Null and empty texts, and texts whose joined
-    token bytes differ from space+text (U+2581 reads as a space, say) have no chunks. Long texts and words are
-    encoded whole; repeated rows each; an empty table gives no rows; other columns are ignored. The files (a few
-    MB) are read by the driver.
+    A chunk is a stretch of space+text that no token of either kind leaves, a word with its space. A is a byte-level BPE
+    (a tokenizers JSON file), B a SentencePiece model; strings of special tokens are plain text. The offsets where tokens
+    of both kinds end cut them into groups, written as "a1,a2|b1;a3|b2" in order. links are the pairs of token
+    occurrences whose byte ranges overlap, in text order, each as a's id * 2^32 + b's. A document's groups and links are
+    those of its chunks in order.
+
+    Null and empty texts, and texts whose joined token bytes differ from space+text (U+2581 reads as a space, say) have no
+    chunks. Long texts and words are encoded whole; repeated rows each; an empty table gives no rows; other columns are
+    ignored. The files (a few MB) are read by the driver.
     """
     models, most = [], BUNDLE
     for path in (byte_model, piece_model):
@@ -216,8 +199,7 @@ def tokenise(df: DataFrame, byte_model: str, piece_model: str, ident: str = "doc
                     yield _bundle(batch.column(0).slice(start, len(held)), held, kinds)
                     held, size, start = [], 0, i + 1
 
-    docs = "docs array<struct<doc_id long, n_a long, n_b long, at array<int>>>"
-    return df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"chunks {_CHUNKS}, {docs}")
+    return df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _BUNDLES)
 
 
 def _let(value: Column, body) -> Column:
@@ -229,65 +211,6 @@ def _place(v: Column) -> Column:
     return v.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
 
 
-def _pair(a: Column, b: Column) -> Column:
-    return F.shiftleft(a.cast("long"), 32) + b
-
-
-def _overlaps(c: Column) -> Column:
-    """The links of a chunk.
-
-    The ends of both kinds are put in order, as numbers: offset, then 0 for A and 1 for B, then the token's
-    place in its list. Each end that is not the second of a cut ends the overlap of one pair: its own token
-    and the other kind's token that ends there or next, whose place is the number of that kind's ends before it.
-    """
-    each = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + i + (side << 31))
-    pair = lambda a, b: _pair(F.get(c["a_ids"], a), F.get(c["b_ids"], b))
-    is_b = lambda v: F.shiftright(v, 31).bitwiseAND(F.lit(1)) == 1
-    second = lambda v, before: F.coalesce(F.get(c["a_ends"], before - 1) == F.shiftright(v, 32), F.lit(False))
-    one = lambda v, k: F.when(~is_b(v), pair(_place(v), k - _place(v))).when(~second(v, k - _place(v)), pair(k - _place(v), _place(v)))
-    return F.filter(F.transform(F.sort_array(F.concat(each(c["a_ends"], 0), each(c["b_ends"], 1))), one), lambda x: x.isNotNull())
-
-
-def _said(ids: Column) -> Column:
-    return F.array_join(ids.cast("array<string>"), ",")
-
-
-def _sliced(c: Column, cuts: Column) -> Column:
-    """The groups between cuts, from the places of the cuts in the ends of both kinds."""
-    spots = lambda ends: F.transform(cuts, lambda e: F.array_position(ends, e).cast("int"))
-
-    def groups(in_a: Column, in_b: Column) -> Column:
-        part = lambda ids, spots, g: _said(F.slice(ids, F.coalesce(F.get(spots, g - 1), F.lit(0)) + 1, F.get(spots, g) - F.coalesce(F.get(spots, g - 1), F.lit(0))))
-        return F.transform(F.sequence(F.lit(0), F.size(cuts) - 1), lambda g: F.concat(part(c["a_ids"], in_a, g), F.lit("|"), part(c["b_ids"], in_b, g)))
-
-    return _let(spots(c["a_ends"]), lambda in_a: _let(spots(c["b_ends"]), lambda in_b: F.array_join(groups(in_a, in_b), ";")))
-
-
-def _aligned(c: Column) -> Column:
-    """(groups, links, n_groups) of a chunk; the most frequent forms of chunks are told apart first."""
-    a, b, first = c["a_ids"], c["b_ids"], F.lit(0)
-
-    def built(cuts: Column) -> Column:
-        n, alike = F.size(cuts), (F.size(cuts) == F.size(a)) & (F.size(cuts) == F.size(b))
-        pairs = F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";")
-        groups = F.when(n == 1, F.concat(_said(a), F.lit("|"), _said(b))).when(alike, pairs).otherwise(_sliced(c, cuts))
-        links = F.when(F.size(a) == 1, F.transform(b, lambda y: _pair(F.get(a, first), y))).when(F.size(b) == 1, F.transform(a, lambda x: _pair(x, F.get(b, first))))
-        links = links.when(alike, F.zip_with(a, b, _pair)).otherwise(_overlaps(c))
-        return F.struct(groups.alias("groups"), links.alias("links"), n.alias("n_groups"))
-
-    return _let(F.array_intersect(c["a_ends"], c["b_ends"]), built)
-
-
-def align(bundles: DataFrame) -> DataFrame:
-    """The bundles of tokenise() with `aligned` instead of chunks: of each chunk its groups, links and n_groups.
-
-    The offsets where tokens of both kinds end cut them into groups, written as "a1,a2|b1;a3|b2" in order. links
-    are the pairs of token occurrences whose byte ranges overlap, in text order, each as a's id * 2^32 + b's.
-    Every chunk ends with a cut, so a document's groups and links are those of its chunks in order.
-    """
-    return bundles.select(F.transform("chunks", _aligned).alias("aligned"), "docs")
-
-
 def _gathered(values: Column, at: Column) -> Column:
     """The chunks' values at the places of a document. values must be a column or a bound variable, else each place computes it anew."""
     return F.transform(at, lambda i: F.get(values, i))
@@ -299,7 +222,7 @@ def alignments(df: DataFrame, byte_model: str, piece_model: str, ident: str = "d
     links = lambda d, all_links: F.transform(F.flatten(_gathered(all_links, d["at"])), split)
     one = lambda d, said, all_links: F.struct(d["doc_id"], d["n_a"], d["n_b"], F.array_join(_gathered(said, d["at"]), ";").alias("groups"), links(d, all_links).alias("links"))
     docs = _let(F.col("aligned.groups"), lambda said: _let(F.col("aligned.links"), lambda all_links: F.transform("docs", lambda d: one(d, said, all_links))))
-    return align(tokenise(df, byte_model, piece_model, ident, text)).select(F.inline(docs))
+    return align(df, byte_model, piece_model, ident, text).select(F.inline(docs))
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -311,22 +234,19 @@ def pair_counts(rows: DataFrame) -> DataFrame:
 
 
 def alignment_digests(df: DataFrame, byte_model: str, piece_model: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row, see tokenise and align.
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row, see align.
 
     n_best counts the links whose pair's count is the highest of its A id, ties included; count_sum adds the
     counts of all links. Without tokens all are 0 and groups_sha256 is ''. Aligned documents are written once; the
     number of distinct pairs decides whether their counts are broadcast or shuffled.
     """
 
-    def doc(d: Column, said: Column, cuts: Column, links: Column) -> Column:
-        n = F.aggregate(d["at"], F.lit(0).cast("long"), lambda x, i: x + F.get(cuts, i))
+    def doc(d: Column, said: Column, links: Column) -> Column:
         digest = F.when(F.size(d["at"]) > 0, F.sha2(F.array_join(_gathered(said, d["at"]), ";").cast("binary"), 256)).otherwise("")
-        return F.struct(d["doc_id"], d["n_a"], d["n_b"], n.alias("n_groups"), digest.alias("groups_sha256"), F.flatten(_gathered(links, d["at"])).alias("links"))
+        return F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_groups"], digest.alias("groups_sha256"), F.flatten(_gathered(links, d["at"])).alias("links"))
 
-    field = lambda name, body: _let(F.col("aligned")[name], body)
-    docs = field("groups", lambda said: field("n_groups", lambda cuts: field("links", lambda links: F.transform("docs", lambda d: doc(d, said, cuts, links)))))
-    aligned = align(tokenise(df, byte_model, piece_model, ident, text))
-    rows = written(aligned.select(F.inline(docs)).withColumn("_row", F.monotonically_increasing_id()))
+    docs = _let(F.col("aligned.groups"), lambda said: _let(F.col("aligned.links"), lambda links: F.transform("docs", lambda d: doc(d, said, links))))
+    rows = written(align(df, byte_model, piece_model, ident, text).select(F.inline(docs)).withColumn("_row", F.monotonically_increasing_id()))
     counts = written(pair_counts(rows))
     small = counts.count() <= BROADCAST_PAIRS
     counted = rows.select("_row", F.explode("links").alias("pair")).join(F.broadcast(counts) if small else counts, "pair")

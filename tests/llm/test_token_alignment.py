@@ -3,7 +3,9 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -118,3 +120,28 @@ def test_python_only_tokenises(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     plan = token_alignment.alignments(docs, BYTES, PIECES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_chunks_are_aligned_at_once(spark, sf_dir):
+    rng = random.Random(5)
+    kinds = [SimpleNamespace(lengths=np.arange(1, 9)) for _ in range(2)]
+    sides, want = [[], []], []
+    for _ in range(300):
+        left = [rng.randrange(8) for _ in range(rng.randint(1, 6))]
+        right, rest = [], sum(left) + len(left)
+        while rest:
+            right.append(rng.randrange(min(8, rest)))
+            rest -= right[-1] + 1
+        a, b = ([(i, sum(ids[:k]) + k, sum(ids[: k + 1]) + k + 1) for k, i in enumerate(ids)] for ids in (left, right))
+        cuts = sorted({e for *_, e in a} & {e for *_, e in b})
+        inside = lambda side, s, e: ",".join(str(i) for i, x, y in side if s <= x and y <= e)
+        groups = ";".join(inside(a, s, e) + "|" + inside(b, s, e) for s, e in zip([0, *cuts], cuts))
+        want.append(({"groups": groups, "links": [(i << 32) + j for i, s, e in a for j, x, y in b if x < e and s < y]}, len(cuts)))
+        sides[0].append(left)
+        sides[1].append(right)
+    ids = [np.concatenate([np.array(x, np.int32) for x in side]) for side in sides]
+    aligned, n_groups = token_alignment._aligned(ids, [np.array([len(x) for x in side]) for side in sides], kinds)
+    assert list(zip(aligned.to_pylist(), n_groups.tolist())) == want
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = token_alignment.alignments(docs, BYTES, PIECES)._jdf.queryExecution().executedPlan().toString()
+    assert not any(f in plan for f in ("array_intersect", "zip_with", "array_position"))  # no interpreted function runs token by token
