@@ -121,7 +121,7 @@ def _plain(chunk: str) -> bool:
     return len(chunk) > 1 and not chunk[1].isspace() and not chunk[-1].isspace()
 
 
-def _joined(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
+def _decimals(ids: np.ndarray, starts: np.ndarray) -> pa.Array:
     """The ids from each start to the next, as decimals with commas between."""
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pc.cast(pa.array(ids), pa.string())), ",")
 
@@ -141,7 +141,7 @@ def _aligned(ids: list[np.ndarray], counts: list[np.ndarray], kinds: tuple[_Toke
     a, b = (x[np.searchsorted(e, every)].astype(np.int64) for x, e in zip(ids, ends))
     till = lambda where, at: pa.array(np.concatenate(([0], np.searchsorted(where, at, "right"))), pa.int32())
     links = pa.ListArray.from_arrays(till(every, chunk_ends), pa.array((a << 32) + b))
-    said = pc.binary_join_element_wise(*(_joined(x, till(e, cuts)) for x, e in zip(ids, ends)), "|")
+    said = pc.binary_join_element_wise(*(_decimals(x, till(e, cuts)) for x, e in zip(ids, ends)), "|")
     of_chunks = till(cuts, chunk_ends)
     groups = pc.binary_join(pa.ListArray.from_arrays(of_chunks, said), ";")
     return pa.StructArray.from_arrays([groups, links], ["groups", "links"]), np.diff(of_chunks.to_numpy())
