@@ -433,6 +433,13 @@ def nbest_digests(df: DataFrame, model_path: str, n: int = 4, ident: str = "doc_
     return df.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, fields)
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    """Lists of ids as one array."""
+    ends = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    flat = np.concatenate([np.empty(0, np.int32), *ids]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
 def encode(df: DataFrame, model_path: str, ident: str = "doc_id", text: str = "text", n: int = 1) -> DataFrame:
     """(doc_id, n_pieces, score, ids) for each row; with n > 1 also `others`, the ids of the next best.
 
@@ -445,13 +452,13 @@ def encode(df: DataFrame, model_path: str, ident: str = "doc_id", text: str = "t
         for batch in batches:
             for start, texts in _groups(batch.column(1)):
                 got = list(encode_batch(pieces, texts, n))
-                sizes = np.array([len(p[0][1]) for p in got])
-                flat = np.concatenate([p[0][1] for p in got]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
-                cols = [batch.column(0).slice(start, len(texts)), pa.array(sizes, pa.int64()), pa.array([p[0][0] / UNIT for p in got], pa.float64()), lists]
+                best = _lists([p[0][1] for p in got])
+                cols = [batch.column(0).slice(start, len(texts)), pa.array([len(p[0][1]) for p in got], pa.int64()), pa.array([p[0][0] / UNIT for p in got], pa.float64()), best]
                 names = ["doc_id", "n_pieces", "score", "ids"]
                 if n > 1:
-                    cols.append(pa.array([[ids.tolist() for _, ids in p[1:]] for p in got], pa.list_(pa.list_(pa.int32()))))
+                    others = _lists([ids for p in got for _, ids in p[1:]])
+                    ends = np.concatenate(([0], np.cumsum([len(p) - 1 for p in got])))
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others))
                     names.append("others")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -7,7 +7,7 @@ import corpus_pipeline
 from skylark.llm import piece_lattice
 from skylark.llm.queries import TOKENIZERS
 
-from test_operators import WORD, plain_groups, plain_measures
+from test_operators import WORD, every_segmentation, plain_groups, plain_measures
 
 
 def test_pipeline(spark, sf_dir, rows):
@@ -43,3 +43,18 @@ def test_pipeline(spark, sf_dir, rows):
     with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
         pieces = piece_lattice.Pieces(f.read())
     assert Counter((r.doc_id, piece_lattice.decode(pieces, r.ids)) for r in encoded) == Counter((r.doc_id, r.text) for r in mixed)
+    several = [list(piece_lattice.encode_batch(pieces, [r.text], 4))[0] for r in mixed]
+    whole = Counter((r.doc_id, tuple(tuple(ids.tolist()) for _, ids in paths)) for r, paths in zip(mixed, several))
+    assert whole == Counter((r.doc_id, (tuple(r.ids), *map(tuple, r.others))) for r in encoded) and any(len(r.others) == 3 for r in encoded)
+
+
+def test_encoding_lists_the_best_segmentations(spark):
+    """The pipeline's encoding gives the four best of each text, in the order of their scores, against all segmentations; one only where there are no more."""
+    with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
+        pieces = piece_lattice.Pieces(f.read())
+    texts = ["the fox", "aaaa", "中", "a b", "", None]
+    got = {r.doc_id: r for r in dict(corpus_pipeline.STAGES)["encoding"](spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()}
+    for i, t in enumerate(texts):
+        known = sorted(every_segmentation(pieces, t), key=lambda p: -p[0]) if t else [(0, ())]
+        lists = [tuple(got[i].ids), *map(tuple, got[i].others)]
+        assert [dict((ids, s) for s, ids in known)[x] for x in lists] == [s for s, _ in known[:4]] and len(set(lists)) == len(lists)
