@@ -167,3 +167,33 @@ def test_clean_text_of_any_white_space(spark):
              ("x .a{b:c} y", "x y"), ("\u2003" * 20000 + "z", "z"), ("", ""), (None, None)]
     df = spark.createDataFrame(pairs, "t string, want string")
     assert [r.got for r in df.select(payloads.clean_text(F.col("t")).alias("got")).collect()] == [w for _, w in pairs]
+
+
+def test_plain_pages_are_cut_by_one_pattern_as_by_the_library():
+    """Pages of text and plain tags don't go through HTMLParser, one call a tag; their elements are the same."""
+    import random
+
+    from skylark.operators import html_elements
+
+    def by_library(page):
+        parser = html_elements._Elements()
+        parser.feed(page)
+        return parser.finish()
+
+    rng = random.Random(5)
+    tags = "p ul ol li table tr th td form label a body head nav footer div section h1 h2 h3 input select button option br".split()
+    attrs = ["", "", ' id="a"', ' class="form x"', ' type="submit"', ' href="http://x/y.pdf" id="b"', ' for="a"', ' href=""', ' id="a" id="b"']
+    part = lambda: rng.choice([f"<{rng.choice(tags)}{rng.choice(attrs)}>", f"</{rng.choice(tags)}>", "x", " y z ", "\n", 'a>b "q"', "ü", "<title>t</title>"])
+    plain = ["".join(part() for _ in range(rng.randint(0, 40))) for _ in range(1000)]
+    odd = [p + x for p, x in zip(plain, ["&amp;", "<", "<!-- c --><p>x", "<P>x", "<br/>", "</ p>", "<a b=c>", "<a  id='x'>", "<title>t", "</p x>", "<script><p></script>x", "<title>a<b></title>", '<a id="a"name="b">', "<textarea><p>"])]
+    assert all(html_elements._PLAIN.fullmatch(p) for p in plain) and not any(html_elements._PLAIN.fullmatch(p) for p in odd)
+    assert all(html_elements._Elements().read(p) == by_library(p) for p in plain + odd)
+
+
+def test_order_pages_are_plain(spark):
+    """The pages of page_parts take the short way, whole."""
+    from skylark.operators import html_elements
+    from skylark.plans.page_queries import order_pages
+
+    pages_ = [r.html for r in order_pages(spark, "/root/testdata/sf0.001").collect()]
+    assert pages_ and all(html_elements._PLAIN.fullmatch(p) for p in pages_)
